@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from quadlake.llm.mixing import op5_mixing
+from quadlake.llm.pii import op4_pii
 from quadlake.llm.simhash import op2_simhash
 from quadlake.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
+    "op4_pii": op4_pii,
+    "op5_mixing": op5_mixing,
 }
 
 ORACLE_SQL = {
