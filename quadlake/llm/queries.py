@@ -5,6 +5,7 @@ from __future__ import annotations
 from quadlake.llm.mixing import op5_mixing
 from quadlake.llm.pii import op4_pii
 from quadlake.llm.simhash import op2_simhash
+from quadlake.llm.toxicity import op6_toxicity
 from quadlake.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_pii": op4_pii,
     "op5_mixing": op5_mixing,
+    "op6_toxicity": op6_toxicity,
 }
 
 ORACLE_SQL = {
