@@ -7,8 +7,10 @@
    and signs, separators inside a word, repeated letters) finds the likeliest letters under the
    language model and the channel's costs. Tokens with a single reading are their own restoration.
 3. Restored texts become sets of words. A logistic model with L2 is fitted on the labelled rows:
-   at most `max_rows` of them, by a hash of doc_id, and the `max_features` words with the highest
-   chi-square. It is a broadcast table of bounded size.
+   at most `max_rows` of them, by a hash of doc_id, and the `max_features` words and word beginnings
+   with the highest chi-square. The score is the larger of the model's probability and the best lower
+   bound of the toxic share that a single feature has among training rows: features that nearly always
+   come together share their weight in the model, and one of them alone would say too little.
 
 Labels enter the training only, and only from rows outside the held-out quarter; lang, source and
 doc_id are never inputs of a score.
@@ -23,6 +25,7 @@ extra columns pass through ``score`` unless they have the names it adds; empty t
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -33,6 +36,11 @@ from quadlake.llm._common import Scratch, arrow_rows, table
 #: Bounds of the labelled rows the model is fitted on and of the words it weighs.
 MAX_ROWS, MAX_FEATURES = 20_000, 500
 THRESHOLD = 0.3
+#: Lengths of the word beginnings that are features: languages that derive words share them.
+BEGINNINGS = (4, 6)
+#: A feature whose toxic share is at least PURE vouches alone for the lower Wilson bound of that share, at so many
+#: standard deviations.
+WILSON, PURE = 4.0, 0.9
 ORDER = 4
 SYMBOLS = 27  # a-z and break
 #: Look-alikes of letters.
@@ -222,13 +230,28 @@ class Restorer:
         return out
 
 
+def features(words: set[str]) -> set[str]:
+    """What the model may weigh: words, word beginnings (``^abcd``), and beginnings of two or more words (``^abcd+``)."""
+    out = set(words)
+    for n in BEGINNINGS:
+        once: set[str] = set()
+        twice: set[str] = set()
+        for w in words:
+            if len(w) >= n:
+                head = w[:n]
+                (twice if head in once else once).add(head)
+        out.update(f"^{h}" for h in once)
+        out.update(f"^{h}+" for h in twice)
+    return out
+
+
 def _training_words(rows: DataFrame, price) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
         restorer = Restorer(price.value)
         for batch in batches:
-            words = [sorted(restorer.words(t)) for t in batch.column(1).to_pylist()]
+            words = [sorted(features(restorer.words(t))) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["toxic", "words"])
 
     return rows.select("toxic", "text").mapInArrow(run, "toxic int, words array<string>")
@@ -238,8 +261,6 @@ def _word_counts(words: DataFrame) -> DataFrame:
     """(w, a, m): rows and toxic rows with each word, counted in the task before they are shuffled."""
 
     def run(batches):
-        from collections import Counter
-
         import pyarrow as pa
 
         seen, bad = Counter(), Counter()
@@ -254,8 +275,8 @@ def _word_counts(words: DataFrame) -> DataFrame:
     return words.mapInArrow(run, "w string, a long, m long").groupBy("w").agg(F.sum("a").alias("a"), F.sum("m").alias("m"))
 
 
-def train(docs: DataFrame, labels: DataFrame, price, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, text: str = "text") -> tuple[dict[str, float], float]:
-    """(weights, intercept) of the logistic model. `labels`: (doc_id, toxic) of the rows it may learn from."""
+def train(docs: DataFrame, labels: DataFrame, price, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, text: str = "text") -> tuple[dict[str, tuple[float, float]], float]:
+    """({feature: (weight, lower bound of its toxic share)}, intercept) of the logistic model. `labels`: (doc_id, toxic) of the rows it may learn from."""
     import numpy as np
 
     spark = docs.sparkSession
@@ -273,9 +294,9 @@ def train(docs: DataFrame, labels: DataFrame, price, max_rows: int = MAX_ROWS, m
         return {}, base
     a, m, total = F.col("a").cast("double"), F.col("m").cast("double"), float(pos + neg)
     chi2 = (a * total - m * pos) * (a * total - m * pos) / (m * (total - m + 0.5) * float(pos) * float(neg))
-    top = _word_counts(words).where("m >= 5").select("w", chi2.alias("chi2")).orderBy(F.desc("chi2"), "w").limit(max_features)
-    features = {r["w"]: i for i, r in enumerate(top.collect())}
-    names = spark.sparkContext.broadcast(features)
+    top = _word_counts(words).where("m >= 5").select("w", "a", "m", chi2.alias("chi2")).orderBy(F.desc("chi2"), "w").limit(max_features).collect()
+    index_of = {r["w"]: i for i, r in enumerate(top)}
+    names = spark.sparkContext.broadcast(index_of)
 
     def index(batches):
         import pyarrow as pa
@@ -286,10 +307,18 @@ def train(docs: DataFrame, labels: DataFrame, price, max_rows: int = MAX_ROWS, m
 
     hits = words.mapInArrow(index, "toxic int, ids array<int>").groupBy("toxic", "ids").count().collect()  # at most max_rows rows
     scratch.drop(words)
-    if not features:
+    if not index_of:
         return {}, base
-    weights, intercept = fit(sorted((r["toxic"], tuple(r["ids"]), r["count"]) for r in hits), len(features))
-    return {w: float(weights[i]) for w, i in features.items() if abs(weights[i]) > 1e-6}, intercept
+    weights, intercept = fit(sorted((r["toxic"], tuple(r["ids"]), r["count"]) for r in hits), len(index_of))
+    return {r["w"]: (float(weights[i]), wilson(r["a"], r["m"])) for i, r in enumerate(top)}, intercept
+
+
+def wilson(hits: int, n: int, z: float = WILSON) -> float:
+    """Lower bound of a share; 0 for a share below PURE."""
+    p = hits / n
+    if p < PURE:
+        return 0.0
+    return max(0.0, (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n))
 
 
 def fit(rows: list[tuple[int, tuple[int, ...], int]], width: int, l2: float = 1.0, steps: int = 25):
@@ -326,10 +355,24 @@ def fit(rows: list[tuple[int, tuple[int, ...], int]], width: int, l2: float = 1.
 
 
 class Model:
-    """What a task needs to score: prices of the language model, word weights, intercept."""
+    """What a task needs to score: prices of the language model, feature weights and bounds, intercept."""
 
-    def __init__(self, price, weights: dict[str, float], intercept: float):
+    def __init__(self, price, weights: dict[str, tuple[float, float]], intercept: float):
         self.price, self.weights, self.intercept = price, weights, intercept
+        self.words = {w for w in weights if w[0] != "^"}
+        self.heads = {n: {w[1:].rstrip("+") for w in weights if w[0] == "^" and len(w.rstrip("+")) == n + 1} for n in BEGINNINGS}
+
+    def probability(self, words: set[str]) -> float:
+        import math
+
+        found = sorted(words & self.words)
+        for n, heads in self.heads.items():
+            if heads:
+                seen = Counter(h for w in words if (h := w[:n]) in heads)
+                found += [f"^{h}" for h in seen] + [f"^{h}+" for h, k in seen.items() if k > 1]
+        pairs = [self.weights[f] for f in sorted(found) if f in self.weights]
+        z = max(-30.0, min(30.0, self.intercept + sum(w for w, _ in pairs)))
+        return max([1 / (1 + math.exp(-z)), *(low for _, low in pairs)])
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
@@ -351,18 +394,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     at = kept.index(text)
 
     def run(batches):
-        import math
-
         import pyarrow as pa
 
-        m = shared.value
-        restorer = Restorer(m.price)
-        names = m.weights.keys()
+        model_ = shared.value
+        restorer = Restorer(model_.price)
         for batch in batches:
-            scores = []
-            for body in batch.column(at).to_pylist():
-                z = m.intercept + sum(m.weights[w] for w in sorted(names & restorer.words(body or "")))
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+            scores = [model_.probability(restorer.words(body or "")) for body in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*kept, name])
 
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
