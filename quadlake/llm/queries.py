@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from quadlake.llm.decontaminate import op8_decontamination
 from quadlake.llm.mixing import op5_mixing
 from quadlake.llm.pii import op4_pii
 from quadlake.llm.simhash import op2_simhash
+from quadlake.llm.topk import OP7_SQL, op7_topk
 from quadlake.llm.toxicity import op6_toxicity
 from quadlake.llm.url_filter import OP1_SQL, op1_url_filter
 
@@ -14,8 +16,11 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
+    "op7_topk": op7_topk,
+    "op8_decontamination": op8_decontamination,
 }
 
 ORACLE_SQL = {
     "op1_url_filter": OP1_SQL,
+    "op7_topk": OP7_SQL,
 }
