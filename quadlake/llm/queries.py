@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quadlake.llm.decontaminate import op8_decontamination
+from quadlake.llm.html_text import op10_html_text
 from quadlake.llm.mixing import op5_mixing
 from quadlake.llm.pii import op4_pii
 from quadlake.llm.simhash import op2_simhash
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_topk": op7_topk,
     "op8_decontamination": op8_decontamination,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL = {
