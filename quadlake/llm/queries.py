@@ -7,6 +7,7 @@ from quadlake.llm.html_text import op10_html_text
 from quadlake.llm.mixing import op5_mixing
 from quadlake.llm.pii import op4_pii
 from quadlake.llm.simhash import op2_simhash
+from quadlake.llm.substring_dedup import op9_substring_dedup
 from quadlake.llm.topk import OP7_SQL, op7_topk
 from quadlake.llm.toxicity import op6_toxicity
 from quadlake.llm.url_filter import OP1_SQL, op1_url_filter
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_topk": op7_topk,
     "op8_decontamination": op8_decontamination,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_html_text": op10_html_text,
 }
 

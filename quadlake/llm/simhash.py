@@ -80,17 +80,22 @@ def _probes(masks, value, part: int):
 
 
 def links(fps: DataFrame, radius: int = 4, parts: int = 3) -> DataFrame:
-    """(a, b), a < b: pairs of distinct fingerprints at `radius` or fewer differing bits."""
+    """(a, b), a < b: pairs of distinct fingerprints at `radius` or fewer differing bits, each once."""
     reach = radius // parts
     tables, probes = [], []
-    for i, (shift, width) in enumerate(segments(parts)):
+    cuts = segments(parts)
+    for i, (shift, width) in enumerate(cuts):
         value = F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << width) - 1))
         tables.append(F.struct(F.lit(i).alias("part"), value.alias("value")))
         masks = F.array(*[F.lit(m).cast("long") for m in ball(width, reach)])
         probes.append(_probes(masks, value, i))
     held = fps.select(F.col("fp").alias("a"), F.explode(F.array(*tables)).alias("at")).select("a", "at.part", "at.value")
     asked = fps.select(F.col("fp").alias("b"), F.explode(F.flatten(F.array(*probes))).alias("at")).select("b", F.col("at.part").alias("qpart"), F.col("at.value").alias("qvalue"))
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    apart = F.col("a").bitwiseXOR(F.col("b"))
+    near = (F.col("a") < F.col("b")) & (F.bit_count(apart) <= radius)
+    for i, (shift, width) in enumerate(cuts[:-1]):  # a pair counts in the first segment that finds it
+        far = F.bit_count(F.shiftrightunsigned(apart, shift).bitwiseAND(F.lit((1 << width) - 1))) > reach
+        near = near & ((F.col("part") <= i) | far)
     return asked.join(held, (F.col("part") == F.col("qpart")) & (F.col("value") == F.col("qvalue")) & near).select("a", "b")
 
 
@@ -104,7 +109,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, parts: i
     scratch = Scratch(spark, "simhash")
     fps = scratch.write(fingerprints(docs, shingle, text, key))
     reps = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    near = scratch.write(links(reps.select("fp"), radius, parts).distinct())
+    near = scratch.write(links(reps.select("fp"), radius, parts))
     first = reps.select(F.col("fp").alias("a"), F.col("rep").alias("rep_a"))
     second = reps.select(F.col("fp").alias("b"), F.col("rep").alias("rep_b"))
     roots = connected_components(scratch, near.join(first, "a").join(second, "b").select("rep_a", "rep_b"))
