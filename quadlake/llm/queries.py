@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quadlake.llm.decontaminate import op8_decontamination
 from quadlake.llm.html_text import op10_html_text
 from quadlake.llm.mixing import op5_mixing
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_html_text": op10_html_text,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
