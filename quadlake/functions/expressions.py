@@ -332,7 +332,7 @@ class Expressions:
         return F.when(known.rlike("^[imsx]+$"), F.concat(F.lit("(?"), known, F.lit(")"), quoted)).when(known == "", quoted)
 
     def _f_regex(self, v, pattern, flags=None):
-        return Val("bool", self._string(v).rlike(self._checked(pattern, flags)))
+        return Val("bool", F.rlike(self._string(v), self._checked(pattern, flags)))
 
     def _checked(self, pattern: Val, flags: Val | None) -> Column:
         return self._pattern(pattern, flags)

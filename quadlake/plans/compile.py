@@ -304,9 +304,8 @@ def _sum(v: Val, distinct: bool, _):
 
 def _avg(v: Val, distinct: bool, _):
     if v.kind == "dbl":
-        total = F.sum_distinct(v.col) if distinct else F.sum(v.col)
-        n = F.count_distinct(v.col) if distinct else F.count(v.col)
-        return Val("dbl", F.when(n > 0, total / n).otherwise(F.lit(0.0)))
+        mean = F.try_divide(F.sum_distinct(v.col), F.count_distinct(v.col)) if distinct else F.avg(v.col)
+        return Val("dbl", F.coalesce(mean, F.lit(0.0)))
     if v.kind in ("int", "dec"):
         total = (F.sum_distinct if distinct else F.sum)(v.col.cast(V.DECIMAL_TYPE))
         n = F.count_distinct(v.col) if distinct else F.count(v.col)
