@@ -29,8 +29,11 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of every group of near duplicates; rows without a doc_id stay."""
     classes = simhash.near_duplicates(docs, shingle=SHINGLE, radius=RADIUS, parts=PARTS)
-    dropped = Scratch(spark, "pipeline").write(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")))
-    return docs.join(dropped, F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    name = "dropped_id"
+    while name in docs.columns:
+        name += "_"
+    dropped = Scratch(spark, "pipeline").write(classes.where("doc_id <> component_id").select(F.col("doc_id").alias(name)))
+    return docs.join(dropped, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,8 +66,8 @@ READINGS = {
 }
 SEPARATORS = ".-_*~'`^ "
 EDGES = ".,;:!?\"'()[]{}<>*#&%$+=~^|_-/\\…“”‘’«»¡¿"
-#: Single characters set apart by one blank each: three or more in a row.
-SPACED = re.compile(r"(?<!\S)[^\W_](?: [\w@$!|+€£](?!\S)){2,}")
+#: Single characters set apart by one blank each, three or more in a row; punctuation may close the row.
+SPACED = re.compile(r"(?<![^\s\"'(])[^\W_](?: [\w@$!|+€£](?![^\s.,;:!?\"')])){2,}")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 PARTS = re.compile(r"[\W\d_]+")
 LETTERS = "abcdefghijklmnopqrstuvwxyz"

@@ -81,18 +81,21 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]]
     kept = [c for c in pages.columns if c.lower() not in added]
     names = listed.columns[0]
     canon = listed.select(F.col(names).alias("listed_url")).where(F.col("listed_url").isNotNull() & (F.col("listed_url") != "")).distinct()
-    parsed = pages.select(*[F.col(f"`{c}`") for c in kept], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), canonical(F.col(url)).alias("canonical_url"))
-    ruled = parsed.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules))
-    settled = ruled.where(F.col("_rule").isNotNull()).select(*kept, "host", "path", F.col("_rule.rule").alias("rule"), "canonical_url", F.lit(None).cast("boolean").alias("listed"), F.col("_rule.verdict").alias("verdict"))
-    open_ = ruled.where(F.col("_rule").isNull()).withColumn("_block", _block(F.col("canonical_url"), blocks)).withColumn("_mask", _mask(F.col("canonical_url")))
+    # The caller's columns travel in one struct, so that no name can clash with the ones used here.
+    row = F.struct(*[F.col(f"`{c}`") for c in kept], F.lit(1).alias("_")).alias("row")
+    parsed = pages.select(row, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), canonical(F.col(url)).alias("canonical_url"))
+    ruled = parsed.withColumn("found", rule_for(F.col("host"), F.col("path"), rules))
+    shape = ["row", "host", "path"]
+    settled = ruled.where(F.col("found").isNotNull()).select(*shape, F.col("found.rule").alias("rule"), "canonical_url", F.lit(None).cast("boolean").alias("listed"), F.col("found.verdict").alias("verdict"))
+    open_ = ruled.where(F.col("found").isNull()).withColumn("at", _block(F.col("canonical_url"), blocks)).withColumn("mask", _mask(F.col("canonical_url")))
     filter_ = F.broadcast(bloom(canon, "listed_url", blocks))
-    tried = open_.join(filter_, F.col("_block") == F.col("block"), "left").withColumn("_maybe", F.coalesce(F.col("word").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False)))
-    shape = [*kept, "host", "path", F.lit(None).cast("string").alias("rule"), "canonical_url"]
-    missed = tried.where(~F.col("_maybe")).select(*shape, F.lit(False).alias("listed"), F.lit("allow").alias("verdict"))
-    hits = tried.where("_maybe").select(*shape)
+    tried = open_.join(filter_, F.col("at") == F.col("block"), "left").withColumn("maybe", F.coalesce(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False)))
+    shape = [*shape, F.lit(None).cast("string").alias("rule"), "canonical_url"]
+    missed = tried.where(~F.col("maybe")).select(*shape, F.lit(False).alias("listed"), F.lit("allow").alias("verdict"))
+    hits = tried.where("maybe").select(*shape)
     exact = hits.join(canon.hint("shuffle_hash"), F.col("canonical_url") == F.col("listed_url"), "left").withColumn("listed", F.col("listed_url").isNotNull())
-    exact = exact.select(*kept, "host", "path", "rule", "canonical_url", "listed", F.when(F.col("listed"), "block").otherwise("allow").alias("verdict"))
-    return settled.unionByName(missed).unionByName(exact)
+    exact = exact.select("row", "host", "path", "rule", "canonical_url", "listed", F.when(F.col("listed"), "block").otherwise("allow").alias("verdict"))
+    return settled.unionByName(missed).unionByName(exact).select(*[F.col("row")[c].alias(c) for c in kept], "host", "path", "rule", "canonical_url", "listed", "verdict")
 
 
 def listed_urls(pages: DataFrame, sites: str = LISTED_SITES) -> DataFrame:

@@ -21,7 +21,7 @@ def luhn(digits):
 
 def test_url_rules_and_edges(spark):
     rows = [(1, "http://a.b.NET/x"), (2, "https://example.net/en/1"), (3, "http://w.example.com/de/2?q"), (4, "http://x.org/fr/"), (5, None), (6, "nothing"), (7, "http://spam.example.com/a/?utm_source=x#t"), (7, "http://spam.example.com/a/?utm_source=x#t"), (8, "http://net"), (9, "")]
-    pages = spark.createDataFrame([(i, u, "clash") for i, u in rows], "page_id long, url string, host string")
+    pages = spark.createDataFrame([(i, u, "clash", 1) for i, u in rows], "page_id long, url string, host string, block int")
     listed = spark.createDataFrame([("spam.example.com/a",), (None,), ("",)], "listed_url string")
     got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, listed).collect()}
     assert got == {

