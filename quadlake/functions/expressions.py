@@ -8,6 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from urllib.parse import urljoin
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -140,7 +141,7 @@ class Expressions:
             v = self.env.get(args[0][1])
             return Val("bool", v.col.isNotNull() if v else F.lit(False))
         if name == "COALESCE":
-            vals = [self.value(a) for a in args]
+            vals = [self.value(a) for a in args if a[0] != "var" or a[1] in self.env]
             if not vals:
                 return V.null()
             kind, prefix = V.common(vals)
@@ -545,7 +546,6 @@ class Expressions:
 
 def triple_part(t: Column, i: int) -> Column:
     """Subject, predicate or object of a triple term column, read from its canonical form. Vectorized: the form nests."""
-    import pandas as pd
 
     @F.pandas_udf(R.TERM_DDL)
     def part(keys: pd.Series) -> pd.DataFrame:

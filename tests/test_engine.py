@@ -49,7 +49,7 @@ def u(*names):
         ("SELECT ?x ?y { VALUES (?x ?y) { (1 UNDEF) (UNDEF 2) } VALUES ?x { 1 3 } }", [(1, 2), (1, None), (3, 2)]),
         ("SELECT ?k { << :a :p ?b >> :said ?k }", [u("k")]),
         ("SELECT ?b { ?r <http://www.w3.org/1999/02/22-rdf-syntax-ns#reifies> ?t BIND(OBJECT(?t) AS ?b) }", [u("b")]),
-        ('SELECT (SUBSTR("motor car", 6) AS ?a) (REPLACE("abcd", "b", "Z") AS ?b) (STRBEFORE("abc", "c") AS ?c) {}', [("car", "aZcd", "ab")]),
+        ('SELECT (SUBSTR("motor car", 7) AS ?a) (REPLACE("abcd", "b", "Z") AS ?b) (STRBEFORE("abc", "c") AS ?c) {}', [("car", "aZcd", "ab")]),
         ('SELECT (xsd:integer("7") + 1 AS ?a) (xsd:boolean("0") AS ?b) (xsd:double("1e3") AS ?c) (STR(1.50) AS ?d) {}', [(8, False, 1000.0, "1.5")]),
         ('SELECT (IF(?nope, 1, 2) AS ?a) (COALESCE(?nope, 3) AS ?b) (1 / 0 AS ?c) {}', [(None, 3, None)]),
         ('SELECT (LANGMATCHES("en-GB", "EN") AS ?a) (hasLANG("x"@en) AS ?b) (LANGDIR("x"@en--rtl) AS ?c) {}', [(True, True, "rtl")]),

@@ -12,7 +12,7 @@ def engine(spark, text="@prefix : <urn:x:> . :a :p 1 . :b :p 2 . :g { :a :q 3 }"
 
 
 def state(e):
-    return sorted((s.value, p.value, getattr(o, "lex", None) or getattr(o, "value", None), g and g.value) for s, p, o, g in rdf.collect(e.catalog.quads))
+    return sorted(((s.value, p.value, getattr(o, "lex", None) or getattr(o, "value", None), g and g.value) for s, p, o, g in rdf.collect(e.catalog.quads)), key=repr)
 
 
 def test_data_and_modify(spark):
