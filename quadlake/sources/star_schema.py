@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from quadlake.sources.catalog import Catalog, Key, TableMap, row_key
 
@@ -27,6 +27,23 @@ LAYOUT = {
 }
 
 
+#: Tables already opened, by session and path: opening one reads file footers.
+_OPEN: dict[tuple[int, str], DataFrame] = {}
+
+
+def open_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table at a path. A session opens a path once; tables that change need a new session or ``forget``."""
+    key = (id(spark), path)
+    held = _OPEN.get(key)
+    if held is None or held.sparkSession is not spark:
+        held = _OPEN[key] = spark.read.parquet(path)
+    return held
+
+
+def forget() -> None:
+    _OPEN.clear()
+
+
 def subject(table: str) -> str:
     return f"{NS}{table}/"
 
@@ -37,7 +54,7 @@ def star_schema(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] | None
     for name, (key, refs, graphs) in LAYOUT.items():
         if tables is not None and name not in tables:
             continue
-        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        df = open_table(spark, f"{sf_dir}/{name}.parquet")
         plain = df.columns
         if key is None:
             df, key_ = row_key(df), Key(f"{name}_", ("_row",), blank=True)
