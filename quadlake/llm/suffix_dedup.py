@@ -25,7 +25,7 @@ from quadlake.llm.induced import sorted_suffixes
 from quadlake.llm.windows import Bytes, cut, flagged_offsets, region_table, window_table, with_texts
 
 WINDOW, GRAM = 400, 32
-HOT, SHARD_BYTES, MEMORY = 256, 4 << 20, 128 << 20
+HOT, SHARD_BYTES, MEMORY = 32, 4 << 20, 128 << 20
 
 
 def repeated_starts(pieces: list[tuple[bytes, int]], window: int, memory: int = MEMORY) -> list[list[int]]:
