@@ -41,5 +41,8 @@ def test_entry_and_registry(spark):
 
 
 def test_star_is_one_scan(spark):
-    plan = queries.QUERIES["star_q1"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Scan parquet") + plan.count("FileScan") == 1 and "PushedFilters: [IsNotNull" in plan
+    execution = queries.QUERIES["star_q1"](spark, SF)._jdf.queryExecution()
+    plan = spark.sparkContext._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(execution, "formatted")
+    scans = [x for x in plan.splitlines() if x.startswith("ReadSchema")]
+    assert len(scans) == 1 and "l_quantity" in scans[0] and "l_tax" not in scans[0]
+    assert "PushedFilters: [IsNotNull(" in plan and "l_shipdate" in plan
