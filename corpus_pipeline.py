@@ -9,14 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlake.llm import decontaminate, mixing, pii, simhash, toxicity
+from quadlake.llm import decontaminate, mixing, pii, shingle_join, toxicity
 from quadlake.llm._common import Scratch, table
 
 #: A document goes if its toxicity is at least this.
 REJECT = 0.5
-#: Near duplicates: words of a shingle and differing bits of the fingerprint. Four segments with balls of one bit
-#: find every pair within seven bits; texts of a shingle similarity of 0.95 differ in fewer than five on average.
-SHINGLE, RADIUS, PARTS = 5, 6, 4
+#: Near duplicates: words of a shingle. Texts are linked at a shingle similarity of 0.8 or more.
+SHINGLE = 5
 
 
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +27,7 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of every group of near duplicates; rows without a doc_id stay."""
-    classes = simhash.near_duplicates(docs, shingle=SHINGLE, radius=RADIUS, parts=PARTS)
+    classes = shingle_join.near_duplicates(docs, shingle=SHINGLE)
     name = "dropped_id"
     while name in docs.columns:
         name += "_"
@@ -62,7 +61,7 @@ STAGES = [
     ("mixing", mixing_stage),
 ]
 
-#: Fingerprints, similarity of windows and keyed permutations have no counterpart in SQL; tests compare with brute force.
+#: Similarity of shingle sets and windows and keyed permutations have no counterpart in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
