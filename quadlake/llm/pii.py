@@ -39,6 +39,8 @@ IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
 TOKEN = r"(?<=[kK][eE][yYnN] ?[=:] ?\"?)[0-9a-fA-F]{16,64}(?![0-9A-Za-z])"
 PATTERN = "|".join((EMAIL, PHONE, IP, DATE, SSN, IBAN, CARD, TOKEN))
+#: What every match of PATTERN needs: an "@", a digit, or the prefix of a token (whose digits may all be letters).
+NEEDED = r"[@0-9]|[kK][eE][yYnN] ?[=:]"
 
 DIGITS = "0123456789"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -228,7 +230,7 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY, co
     """`docs` with its text column pseudonymized and the number of replaced values in `count`."""
     kept = [c for c in docs.columns if c != count]
     body = F.col("body")
-    suspect = body.contains("@") | body.rlike("[0-9]{2}")
+    suspect = body.rlike(NEEDED)
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text).cast("string").alias("body"))
     marked = marked.withColumn("found", F.when(suspect, F.regexp_extract_all(body, F.lit(PATTERN), 0)))
     hit = F.coalesce(F.size("found"), F.lit(0)) > 0
