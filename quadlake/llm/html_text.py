@@ -15,7 +15,7 @@ decoded. Nothing is capped.
 
 Edge cases: null or empty html and pages without main text give the empty string; a null URL or one without
 ``://`` belongs to the host ''; unclosed, crossed or truncated tags are repaired as far as the nesting allows;
-repeated rows are extracted one by one and count as pages of their own; an empty table gives an empty
+repeated rows are extracted one by one, and equal pages of a host count as one; an empty table gives an empty
 result; extra columns are ignored.
 """
 
@@ -217,8 +217,20 @@ def hash_parts(tag: str, parts: list[str], blocks: list[tuple[str, bool, bool]])
     return value - (1 << 64) if value >> 63 else value
 
 
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """(host, html), copies of a page within a host once. Only pages that have copies are shuffled."""
+    content = F.xxhash64("html")
+    copied = Scratch(pages.sparkSession, "html-copies").write(pages.groupBy(F.col("host").alias("site"), content.alias("copy")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("site", "copy"))
+    if copied.count() <= BROADCAST_HOSTS:
+        copied = F.broadcast(copied)
+    same = (F.col("host") == F.col("site")) & (content == F.col("copy"))
+    once = pages.join(copied, same, "left_anti").select("host", "html")
+    first = pages.join(copied, same, "left_semi").withColumn("copy", content).dropDuplicates(["host", "copy"]).select("host", "html")
+    return once.unionByName(first)
+
+
 def subtree_counts(pages: DataFrame) -> DataFrame:
-    """(host, digest, n): pages of the host that hold the subtree; digest null: all pages of the host."""
+    """(host, digest, n): distinct pages of the host that hold the subtree; digest null: all distinct pages of the host."""
 
     def run(batches):
         import pyarrow as pa
@@ -240,7 +252,7 @@ def subtree_counts(pages: DataFrame) -> DataFrame:
                 yield out()
         yield out()
 
-    return pages.mapInArrow(run, "host string, digest long, n long").groupBy("host", "digest").agg(F.sum("n").alias("n"))
+    return distinct_pages(pages).mapInArrow(run, "host string, digest long, n long").groupBy("host", "digest").agg(F.sum("n").alias("n"))
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
