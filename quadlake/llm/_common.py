@@ -31,16 +31,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where the session names none (tests), a temporary one is set."""
+    """The folder in spark.checkpoint.dir. Only a local session (tests) may name none: a temporary one is set then."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not jsc.isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quadlake-"))
     return jsc.getCheckpointDir().get()
 
 
+def hadoop_fs(spark: SparkSession, path: str):
+    """(file system, path object) of a path, whatever store it is in."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def integral(df: DataFrame, key: str) -> str:
+    """`key`, if it is an integer column; ids of other types are refused before any job runs."""
+    kind = dict(df.dtypes)[key]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} is {kind}; an integer column is needed")
+    return key
+
+
+#: Shuffle files go as soon as the query that made them has been written: no plan reads them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive lost executors.
 
@@ -62,7 +83,12 @@ class Scratch:
         writer = df.write
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            writer.parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -72,9 +98,8 @@ class Scratch:
             self._delete(df._scratch_path)
 
     def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+        fs, at = hadoop_fs(self.spark, path)
+        fs.delete(at, True)
 
     def _quiet_drop(self) -> None:
         try:

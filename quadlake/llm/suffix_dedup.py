@@ -5,27 +5,38 @@ regions that share a key with nothing else are out, and equal regions collapse t
 count: what they hold is repeated. Distinct regions that share a key are contested. Their bytes go, key by
 key, to shards; each shard's text is suffix-sorted by external induced sorting (see ``induced``), whose
 disk-backed queues carry suffix tuples and common-prefix values, and windows whose common prefix with a
-neighbour reaches the window's length are repeated. A key with more than `hot` distinct regions (a
-passage in very many surroundings) would make its shard grow with the corpus: its windows are counted by
-content over all tasks instead.
-
-Edge cases: null and empty texts have no bytes; texts shorter than a window lose nothing; strings are judged on
-the input and never cross documents; a document may repeat itself, overlaps included; repeated rows count as
-places of their own, so equal rows lose everything long enough; null ids are kept; cuts may fall inside a
+neighbour reaches the window's length are repeated.
+
+A key whose distinct regions exceed a shard (a passage in very many surroundings) is split by content: windows at nearby
+distances from the key's gram share a long core, and only windows with equal cores can be equal. So each region is
+cut into pieces of ``LEVELS[0]`` windows, pieces with one core form a cell, equal pieces collapse with a count, and
+cells that fit are sorted as above. A cell that still exceeds a shard is cut again, at the next level; at the last
+one the core is the window. So no shard grows with the corpus and every group is pre-aggregated.
+
+Edge cases: null and empty texts have no bytes; texts shorter than a window lose nothing; very long texts are read
+whole, in one task; strings are judged on the input and never cross documents; a document may repeat itself, overlaps
+included; repeated rows count as places of their own, so equal rows lose everything long enough; ids may repeat, be
+null or of any type (a row is named by 64-bit hashes of its id and of its text); cuts may fall inside a
 UTF-8 sequence, so what is kept is binary; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadlake.llm._common import Scratch, table
+from quadlake.llm._common import Scratch, shuffle_partitions, table
 from quadlake.llm.induced import sorted_suffixes
-from quadlake.llm.windows import Bytes, cut, flagged_offsets, region_table, window_table, with_texts
+from quadlake.llm.windows import TEXT, Bytes, cut, region_table, with_texts
 
 WINDOW, GRAM = 400, 32
-HOT, SHARD_BYTES, MEMORY = 32, 4 << 20, 128 << 20
+#: Contested bytes of a shard on average; memory of its queues, beyond which they go to disk.
+SHARD_BYTES, MEMORY = 4 << 20, 32 << 20
+#: Windows of a piece of a crowded key, level by level; the last level must be one.
+LEVELS = (64, 8, 1)
+RUNS = "array<struct<at:int,n:int>>"
 
 
 def repeated_starts(pieces: list[tuple[bytes, int]], window: int, memory: int = MEMORY) -> list[list[int]]:
@@ -71,8 +82,25 @@ def _close(open_: list, found: list) -> None:
     open_.clear()
 
 
-def _sort_shards(rows: DataFrame, window: int) -> DataFrame:
-    """(key, digest, offsets) from (shard, key, digest, count, body), which come sorted by shard."""
+def _runs(hits: list[int]) -> list[dict]:
+    """Runs of consecutive offsets."""
+    out: list[dict] = []
+    for h in hits:
+        if out and out[-1]["at"] + out[-1]["n"] == h:
+            out[-1]["n"] += 1
+        else:
+            out.append({"at": h, "n": 1})
+    return out
+
+
+def _runs_type():
+    import pyarrow as pa
+
+    return pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))
+
+
+def _sort_shards(rows: DataFrame, window: int, memory: int) -> DataFrame:
+    """(k, d, runs) of the repeated windows, from (shard, k, d, n, body), which come sorted by shard."""
 
     def run(batches):
         import pyarrow as pa
@@ -80,78 +108,170 @@ def _sort_shards(rows: DataFrame, window: int) -> DataFrame:
         held, shard = [], None
 
         def out():
-            hits = repeated_starts([(r[2], r[3]) for r in held], window)
-            keep = [(r[0], r[1], h) for r, h in zip(held, hits, strict=True) if h]
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in keep], pa.int64()), pa.array([d for _, d, _ in keep], pa.int64()), pa.array([h for _, _, h in keep], pa.list_(pa.int32()))], ["key", "digest", "offsets"])
+            hits = repeated_starts([(body, n) for _, _, n, body in held], window, memory)
+            keep = [(k, d, _runs(h)) for (k, d, _, _), h in zip(held, hits, strict=True) if h]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in keep], pa.int64()), pa.array([x[1] for x in keep], pa.int64()), pa.array([x[2] for x in keep], _runs_type())], ["k", "d", "runs"])
 
         for batch in batches:
-            for s, key, digest, count, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for s, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if s != shard and held:
                     yield out()
                     held = []
                 shard = s
-                held.append((key, digest, body, count))
+                held.append(row)
         if held:
             yield out()
 
-    return rows.mapInArrow(run, "key long, digest long, offsets array<int>")
+    return rows.mapInArrow(run, f"k long, d long, runs {RUNS}")
 
 
-def _bodies(texts: DataFrame, window: int, shards: int) -> DataFrame:
-    """(shard, key, digest, count, body): the bytes of contested regions."""
+def _sort(rows: DataFrame, total: int, window: int, shard_bytes: int, memory: int) -> DataFrame:
+    """(k, d, runs) from (k, d, n, body) of `total` bytes: all rows of a k meet in one shard."""
+    shards = int(max(1, -(-total // shard_bytes)))
+    tasks = max(1, min(shards, 8 * shuffle_partitions(rows.sparkSession)))
+    dealt = rows.select(F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int").alias("shard"), "k", "d", "n", "body")
+    return _sort_shards(dealt.repartition(tasks, "shard").sortWithinPartitions("shard", "k", "d"), window, memory)
+
+
+def _bodies(texts: DataFrame, window: int) -> DataFrame:
+    """(k, d, n, body): the bytes of contested regions."""
 
     def run(batches):
         import pyarrow as pa
 
+        kinds = (("k", pa.int64()), ("d", pa.int64()), ("n", pa.int32()), ("body", pa.binary()))
         for batch in batches:
             rows = []
             for text, places in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 for p in places:
-                    rows.append((p["key"] % shards, p["key"], p["digest"], p["count"], (text or b"")[p["start"] : p["start"] + p["count"] + window - 1]))
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["shard", "key", "digest", "count", "body"])
+                    rows.append((p["key"], p["digest"], p["count"], (text or b"")[p["start"] : p["start"] + p["count"] + window - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], [name for name, _ in kinds])
+
+    return texts.select("doc_id", "text", "places").mapInArrow(run, "k long, d long, n int, body binary")
+
+
+def split(body: bytes, ahead: int, n: int, window: int, size: int) -> Iterator[tuple[bytes, int, int, int]]:
+    """(core, offset, ahead, windows) of the pieces of a body of `n` windows.
 
-    return texts.select("doc_id", "text", "places").mapInArrow(run, "shard int, key long, digest long, count int, body binary")
+    The first window holds the key's gram `ahead` bytes after its start, each further one a byte less. A piece has the windows
+    with one quotient of that distance by `size`; its core is what all windows with that quotient hold, and the quotient.
+    """
+    low = ahead - n + 1
+    for j in range(ahead // size, low // size - 1, -1):
+        top, bottom = min(ahead, j * size + size - 1), max(low, j * size)
+        start = ahead - j * size
+        yield body[start : start - size + 1 + window] + j.to_bytes(2, "big"), ahead - top, top, top - bottom + 1
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, start, length): intervals of bytes covered by windows that also start elsewhere. `docs`: doc_id, text."""
+PIECES = "k long, d long, at int, ahead int, n int, cell long, content long, body binary"
+
+
+def _pieces(rows: DataFrame, window: int, size: int) -> DataFrame:
+    """PIECES of (k, d, ahead, n, body)."""
+
+    def run(batches):
+        import pyarrow as pa
+        from xxhash import xxh3_64_intdigest
+
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        names = ["k", "d", "at", "ahead", "n", "cell", "content", "body"]
+
+        def signed(x: int) -> int:
+            return x - (1 << 64) if x >> 63 else x
+
+        for batch in batches:
+            out: list[tuple] = []
+            for k, d, ahead, n, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                for core, at, top, many in split(body, ahead, n, window, size):
+                    piece = body[at : at + many - 1 + window]
+                    cell = xxh3_64_intdigest(core, k % (1 << 64))
+                    content = xxh3_64_intdigest(piece, top * 4096 + many)
+                    out.append((k, d, at, top, many, signed(cell), signed(content), piece))
+                if len(out) >= 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
+                    out = []
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
+
+    return rows.select("k", "d", "ahead", "n", "body").mapInArrow(run, PIECES)
+
+
+def _with_ahead(rows: DataFrame, gram: int) -> DataFrame:
+    """(k, d, ahead, n, body): where the first window of a region holds the gram that is its key."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            ahead = [int(np.flatnonzero(Bytes(body).grams(gram).view(np.int64) == k)[0]) for k, body in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ahead, pa.int32()), batch.column(2), batch.column(3)], ["k", "d", "ahead", "n", "body"])
+
+    return rows.mapInArrow(run, "k long, d long, ahead int, n int, body binary")
+
+
+def _crowded(scratch: Scratch, rows: DataFrame, window: int, shard_bytes: int, memory: int, levels: tuple[int, ...]) -> DataFrame:
+    """(k, d, runs) from (k, d, ahead, n, body), split by content."""
+    w, size = scratch.write, min(levels[0], max(1, window // 2))
+    pieces = w(_pieces(rows, window, size))
+    groups = w(pieces.groupBy("cell", "content").agg(F.count(F.lit(1)).alias("m"), *(F.first(c).alias(c) for c in ("ahead", "n", "body"))))
+    whole = groups.where("m > 1").select(F.col("cell").alias("k"), F.col("content").alias("d"), F.array(F.struct(F.lit(0).alias("at"), F.col("n").alias("n"))).alias("runs"))
+    if size > 1:
+        cells = w(groups.groupBy("cell").agg(F.count(F.lit(1)).alias("holders"), F.sum(F.octet_length("body")).alias("bytes")).where("holders > 1"))
+        sums = cells.agg(F.sum(F.when(F.col("bytes") <= shard_bytes, F.col("bytes"))).alias("small"), F.count(F.when(F.col("bytes") > shard_bytes, 1)).alias("large")).first()
+        items = groups.join(cells, "cell").select(F.col("cell").alias("k"), F.col("content").alias("d"), "ahead", "n", "body", "bytes")
+        found = whole
+        if sums["small"]:
+            found = found.unionByName(_sort(items.where(F.col("bytes") <= shard_bytes), sums["small"], window, shard_bytes, memory))
+        if sums["large"]:
+            found = found.unionByName(_crowded(scratch, items.where(F.col("bytes") > shard_bytes), window, shard_bytes, memory, levels[1:]))
+    else:
+        found = whole
+    found = found.select(F.col("k").alias("cell"), F.col("d").alias("content"), F.explode("runs").alias("r"))
+    back = pieces.select("k", "d", "at", "cell", "content").join(found, ["cell", "content"])
+    out = w(back.groupBy("k", "d").agg(F.collect_list(F.struct((F.col("at") + F.col("r.at")).alias("at"), F.col("r.n").alias("n"))).alias("runs")))
+    scratch.drop(pieces)
+    scratch.drop(groups)
+    return out
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, memory: int = MEMORY) -> DataFrame:
+    """(doc_id, body, start, length): intervals of bytes covered by windows that also start elsewhere. `docs`: doc_id, body, text."""
     scratch = Scratch(docs.sparkSession, "suffix")
     w = scratch.write
     found = w(region_table(docs, Bytes, window, gram))
-    place = F.min(F.struct("doc_id", "start", "count")).alias("first")
+    place = F.min(F.struct("doc_id", "body", "start", "count")).alias("first")
     distinct = w(found.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"), place))
-    contested = w(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("holders"), F.sum(F.col("first.count") + window).alias("bytes")).where("holders > 1"))
-    held = w(distinct.join(contested, "key").select("key", "digest", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), F.col("first.count").alias("count"), (F.col("holders") > hot).alias("hot")))
-    total = contested.where(F.col("holders") <= hot).agg(F.sum("bytes").alias("b")).first()["b"] or 0
-    shards = int(max(1, -(-total // shard_bytes)))
-    places = held.where("not hot").select("key", "digest", "doc_id", "start", "count")
-    bodies = _bodies(with_texts(docs, places), window, shards)
-    by_shard = bodies.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "key", "digest")
-    by_sorting = w(_sort_shards(by_shard, window))
-    crowded = held.where("hot").select("key", "digest", "doc_id", "start", "count")
-    counted = flagged_offsets(scratch, window_table(with_texts(docs, crowded), Bytes, window), held.where("hot").select("key", "digest", F.col("n").alias("weight")), F.sum, lambda own, both: both > 1)
-    offsets = by_sorting.unionByName(counted)
-    verdict = distinct.select("key", "digest", "n").join(offsets, ["key", "digest"], "left").where(F.col("offsets").isNotNull() | (F.col("n") > 1))
+    contested = w(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("holders"), F.sum(F.col("first.count") + window).alias("bytes")).where("holders > 1").drop("holders"))
+    large = F.col("bytes") > shard_bytes
+    sums = contested.agg(F.coalesce(F.sum(F.when(~large, F.col("bytes"))), F.lit(0)).alias("small"), F.count(F.when(large, 1)).alias("large")).first()
+    held = w(distinct.join(contested, "key").select("key", "digest", "first.doc_id", "first.body", "first.start", "first.count", large.alias("crowded")))
+    flags = w(_sort(_bodies(with_texts(docs, held.where("not crowded").drop("crowded")), window), sums["small"], window, shard_bytes, memory))
+    if sums["large"]:
+        crowded = _with_ahead(_bodies(with_texts(docs, held.where("crowded").drop("crowded")), window), gram)
+        flags = flags.unionByName(_crowded(scratch, crowded, window, shard_bytes, memory, LEVELS))
+    flags = flags.withColumnsRenamed({"k": "key", "d": "digest"})
+    verdict = distinct.select("key", "digest", "n").join(flags, ["key", "digest"], "left").where(F.col("runs").isNotNull() | (F.col("n") > 1))
+    scratch.drop(contested)
+    scratch.drop(held)
     verdict = w(verdict)
+    scratch.drop(distinct)
     cuts = found.join(verdict, ["key", "digest"])
-    whole = cuts.where("n > 1").select("doc_id", "start", (F.col("count") + window - 1).alias("length"))
-    single = cuts.where((F.col("n") == 1) & F.col("offsets").isNotNull()).select("doc_id", "start", F.explode("offsets").alias("offset")).select("doc_id", (F.col("start") + F.col("offset")).alias("start"), F.lit(window).alias("length"))
-    out = w(whole.unionByName(single))
-    for used in (found, distinct, contested, held, by_sorting, counted, verdict):
-        scratch.drop(used)
+    all_of = F.array(F.struct(F.lit(0).alias("at"), F.col("count").alias("n")))
+    runs = cuts.select(*TEXT, "start", F.explode(F.when(F.col("n") > 1, all_of).otherwise(F.col("runs"))).alias("r"))
+    out = w(runs.select(*TEXT, (F.col("start") + F.col("r.at")).alias("start"), (F.col("r.n") + window - 1).alias("length")))
+    scratch.drop(found)
+    scratch.drop(verdict)
     return out
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, text: str = "text", key: str = "doc_id") -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, memory: int = MEMORY, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, kept, n_bytes, n_removed, n_spans) of every document; kept is binary."""
     kind = dict(docs.dtypes)[key]
-    # Rows are told apart by id and text, so that ids may repeat or be null.
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("doc_id", F.xxhash64(F.col("id").cast("string"), "text"))
-    spans = repeats(rows.select("doc_id", "text"), window, gram, hot)
-    cuts = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("cuts")).withColumnRenamed("doc_id", "row")
-    joined = rows.join(cuts, F.col("doc_id") == F.col("row"), "left").select("id", "text", "cuts")
+    rows = rows.withColumn("doc_id", F.xxhash64(F.col("id").cast("string"))).withColumn("body", F.xxhash64("text"))
+    spans = repeats(rows.select("doc_id", "body", "text"), window, gram, shard_bytes, memory)
+    cuts = spans.groupBy(*TEXT).agg(F.collect_list(F.struct("start", "length")).alias("cuts"))
+    joined = rows.join(cuts, list(TEXT), "left").select("id", "text", "cuts")
 
     def run(batches):
         import numpy as np

@@ -11,17 +11,17 @@ and need a closer look.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadlake.llm._common import Scratch, arrow_rows
+from quadlake.llm._common import arrow_rows
 
 #: Grams per piece of a long text: positions stay below the bits kept for them.
 PIECE, POSITION = 1 << 19, (1 << 20) - 1
 FACTORS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
-REGION = "key long, digest long, doc_id long, start int, count int"
+#: A text is named by its document and a hash of its own, so that documents may repeat an id.
+TEXT = ("doc_id", "body")
+REGION = "key long, digest long, doc_id long, body long, start int, count int"
 
 
 def scramble(x):
@@ -121,8 +121,14 @@ def regions(seq, window: int, k: int):
     return keys.view(np.int64), digests.view(np.int64), starts, counts
 
 
-def region_table(docs: DataFrame, kind: type, window: int, k: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, digest, doc_id, start, count): one row per region of every text."""
+def named(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, body, text) of the rows with an id."""
+    body = F.col(text).cast("string")
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("body"), body.alias("text"))
+
+
+def region_table(docs: DataFrame, kind: type, window: int, k: int) -> DataFrame:
+    """(key, digest, doc_id, body, start, count): one row per region of every text of ``named`` documents."""
 
     def run(batches):
         import numpy as np
@@ -131,83 +137,36 @@ def region_table(docs: DataFrame, kind: type, window: int, k: int, text: str = "
         held, rows = [], 0
 
         def out():
-            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[4]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], ["key", "digest", "doc_id", "start", "count"])
-
-        for doc_id, body in arrow_rows(batches, "doc_id", "text"):
-            found = regions(kind(body), window, k)
-            if found[0].size:
-                held.append((*found, np.full(found[0].size, doc_id, np.int64)))
-                rows += found[0].size
+            key, digest, start, count, doc, body = (np.concatenate(c) for c in zip(*held, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(digest), pa.array(doc), pa.array(body), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], ["key", "digest", "doc_id", "body", "start", "count"])
+
+        for doc_id, body, text in arrow_rows(batches, "doc_id", "body", "text"):
+            found = regions(kind(text), window, k)
+            n = found[0].size
+            if n:
+                held.append((*found, np.full(n, doc_id, np.int64), np.full(n, body, np.int64)))
+                rows += n
             if rows >= 50_000:
                 yield out()
                 held, rows = [], 0
         if held:
             yield out()
 
-    source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, REGION)
+    return docs.select("doc_id", "body", "text").mapInArrow(run, REGION)
 
 
-def with_texts(docs: DataFrame, reps: DataFrame, limit: int = 1_000_000, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, text, places) for the documents that hold representatives; places: array of (key, digest, start, count, ...).
+def with_texts(docs: DataFrame, reps: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """(doc_id, text, places) for the texts that hold representatives; places: array of structs of the other columns of `reps`.
 
-    The ids are broadcast to thin the texts before the shuffle if there are at most `limit` of them.
+    A text's places are about as many as its windows over half the window's length, so they stay in proportion to
+    the text. The names of the texts are broadcast to thin the documents before the shuffle if there are at most `limit` of them.
     """
-    places = reps.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in reps.columns if c != "doc_id"])).alias("places"))
-    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    ids = reps.select("doc_id").distinct()
+    places = reps.groupBy(*TEXT).agg(F.collect_list(F.struct(*[c for c in reps.columns if c not in TEXT])).alias("places"))
+    ids = reps.select(*TEXT).distinct()
+    source = docs
     if ids.count() <= limit:
-        source = source.join(F.broadcast(ids), F.col("id") == F.col("doc_id"), "left_semi")
-    return source.join(places, F.col("id") == F.col("doc_id")).select("doc_id", "text", "places")
-
-
-def window_table(texts: DataFrame, kind: type, window: int) -> DataFrame:
-    """(key, content, digest, offset): one row per window of the representatives; content is the window's hash."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-        from xxhash import xxh3_64_intdigest
-
-        held, rows = [], 0
-
-        def out():
-            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "content", "digest", "offset"])
-
-        for batch in batches:
-            bodies = batch.column(1).cast(pa.large_binary()).to_pylist()
-            for body, places in zip(bodies, batch.column(2).to_pylist(), strict=True):
-                seq = kind(body)
-                for p in places:
-                    n, s = p["count"], p["start"]
-                    content = np.fromiter((xxh3_64_intdigest(seq.slice(s + i, s + i + window)) for i in range(n)), np.uint64, n).view(np.int64)
-                    held.append((np.full(n, p["key"], np.int64), content, np.full(n, p["digest"], np.int64), np.arange(n, dtype=np.int32)))
-                    rows += n
-                if rows >= 50_000:
-                    yield out()
-                    held, rows = [], 0
-        if held:
-            yield out()
-
-    return texts.select("doc_id", "text", "places").mapInArrow(run, "key long, content long, digest long, offset int")
-
-
-def flagged_offsets(scratch: Scratch, windows: DataFrame, weights: DataFrame, merge: Callable, hit: Callable) -> DataFrame:
-    """(key, digest, offsets): windows of contested regions that ``hit`` accepts.
-
-    `weights` is (key, digest, weight); ``merge`` aggregates the weights of all regions that hold a window,
-    ``hit(own, merged)`` decides. Both are Column functions.
-    """
-    weighed = scratch.write(windows.join(weights, ["key", "digest"]))
-    merged = weighed.groupBy("key", "content").agg(merge(F.col("weight")).alias("merged"), F.count(F.lit(1)).alias("holders")).where("holders > 1").drop("holders")
-    merged = scratch.write(merged)
-    found = weighed.join(merged, ["key", "content"]).where(hit(F.col("weight"), F.col("merged")))
-    out = scratch.write(found.groupBy("key", "digest").agg(F.sort_array(F.collect_list("offset")).alias("offsets")))
-    scratch.drop(weighed)
-    scratch.drop(merged)
-    return out
+        source = docs.join(F.broadcast(ids), list(TEXT), "left_semi")
+    return source.join(places, list(TEXT)).select("doc_id", "text", "places")
 
 
 def cut(seq, starts: list[int], lengths: list[int]):

@@ -121,11 +121,12 @@ def brute_bytes(rows, w):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot", [256, 1])
-def test_suffix_dedup(spark, hot):
+@pytest.mark.parametrize(("shard_bytes", "memory"), [(1 << 20, 1 << 20), (1 << 11, 1 << 10), (200, 64)])
+def test_suffix_dedup(spark, shard_bytes, memory):
+    """Whole keys sorted; keys and cells larger than a shard split by content, with queues that spill."""
     rows = [*corpus(2), (5, "again " * 40), (5, "again " * 40)]
     docs = spark.createDataFrame([(*r, b"x") for r in rows], "doc_id long, text string, kept binary")
-    out = suffix_dedup.dedup(docs, window=80, gram=16, hot=hot)
+    out = suffix_dedup.dedup(docs, window=80, gram=16, shard_bytes=shard_bytes, memory=memory)
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in out.collect()), key=repr)
     assert got == brute_bytes(rows, 80)
     assert suffix_dedup.dedup(docs.limit(0)).count() == 0
@@ -149,13 +150,49 @@ def brute_words(rows, w):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("batches", [1, 3])
-def test_substring_dedup(spark, batches):
+@pytest.mark.parametrize(("batches", "fan_in"), [(1, 2), (3, 2), (6, 3)])
+def test_substring_dedup(spark, batches, fan_in):
+    """Few and many batches, runs compacted and met again; ids that repeat, with equal and other texts."""
     rows = corpus(4)
+    rows += [(rows[3][0], rows[20][1] + " more words"), (rows[9][0], rows[9][1]), (1, "other " + rows[8][1]), (1, "short")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, batch int")
-    out = substring_dedup.dedup(docs, window=20, gram=4, batches=batches)
+    out = substring_dedup.dedup(docs, window=20, gram=4, batches=batches, fan_in=fan_in)
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in out.collect()), key=repr) == brute_words(rows, 20)
 
 
-def test_substring_dedup_empty(spark):
+def test_index_opened_again(spark, tmp_path):
+    """A batch added by an index opened later finds what the earlier ones hold; compaction keeps it."""
+    rows = [r for r in corpus(6) if r[0] is not None and r[1]]
+    docs = windows.named(spark.createDataFrame(rows, "doc_id long, text string"))
+    bounds, found = [0, 6, 13, 20, 27, 1 << 40], []
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        index = substring_dedup.FingerprintIndex(spark, str(tmp_path / "index"), window=20, gram=4, fan_in=3)
+        part = docs.where((docs.doc_id >= low) & (docs.doc_id < high))
+        found += index.add(windows.region_table(part, windows.Words, 20, 4), docs).collect()
+    assert len(index.runs) == 1 and index.version == 7
+    gone = Counter()
+    for i, text in rows:
+        cuts = [(r.start, r.length) for r in found if r.doc_id == i]
+        gone[i] = int(windows.cut(windows.Words(text.encode()), [a for a, _ in cuts], [n for _, n in cuts]).sum())
+    assert {r[0]: r[2] for r in brute_words(rows, 20)} == dict(gone)
+    with pytest.raises(ValueError, match="windows of 20"):
+        substring_dedup.FingerprintIndex(spark, str(tmp_path / "index"), window=30, gram=4)
+
+
+def test_long_texts(spark):
+    """One text of a million characters against its own copy in pieces."""
+    rng = random.Random(8)
+    words = [f"word{rng.randrange(5000)}" for _ in range(120_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[1000:1400])), (3, " ".join(words[70_000:90_000]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(rows[0][1]) > 1_000_000
+    got = {r.doc_id: r.n_removed for r in substring_dedup.dedup(docs).collect()}
+    assert got == {1: 0, 2: 400, 3: 20_000}
+    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.dedup(docs).collect()}
+    assert out[1][2] == 2 and out[2][0] == out[2][1] and out[3][0] == out[3][1]
+
+
+def test_substring_dedup_edges(spark):
     assert substring_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    with pytest.raises(TypeError):
+        substring_dedup.dedup(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
