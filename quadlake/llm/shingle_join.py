@@ -1,13 +1,11 @@
-"""Near duplicates by exact shingle similarity: every pair of texts at a Jaccard similarity of 0.8 or more is linked.
+"""Near duplicates by exact shingle similarity: every pair of texts at a Jaccard similarity of t or more is linked.
 
-A text is the set of XXH64 hashes of its word shingles; equal sets collapse first. Two sets at 0.8 or more
-share an element among the first n - ceil(0.8 n) + 1 of each under any common order (prefix filter), so
-postings of prefixes find every pair. The order puts hashes that many texts hold last: a common line costs nothing
-as long as a text has enough of its own. Candidates are verified on the whole sets, in integers.
-
-Groups of near copies would make pairs with their square, so links are made in two rounds: first to three members of
-a posting list, whose verified links give components; then all pairs of different components. What is left out is
-inside one component already, so the components are those of all pairs.
+A text is the set of XXH64 hashes of its word shingles; equal sets collapse first. SimHash links (see ``simhash``) that
+hold on the whole sets join most of a group of near copies. What fingerprints do not show is added by a prefix filter: two
+sets of similarity t share an element among the first n - ceil(t n) + 1 of each under any common order, so postings of
+prefixes find every pair. The order puts hashes that many texts hold last: a common line costs nothing as long as a
+text has enough of its own. Only pairs of different components are made, and of a posting list's largest component none
+with itself; candidates are verified on the whole sets, in integers.
 
 Edge cases: as in ``simhash`` (a null text is empty; empty texts are equal; texts shorter than a shingle are
 one shingle; rows without a key are left out; an empty table gives an empty result).
@@ -15,40 +13,23 @@ one shingle; rows without a key are left out; an empty table gives an empty resu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from fractions import Fraction
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadlake.llm._common import Scratch, arrow_rows
-from quadlake.llm.components import connected_components
+from quadlake.llm.simhash import SEED, components_of, joined_up, majority, shingle_hashes
 
-SEED = 42
 #: One text in SAMPLE is counted to find common hashes: those in at least COMMON of them, at most 2^17. Any choice gives the same links.
 SAMPLE, COMMON, MOST_COMMON = 16, 6, 1 << 17
-#: Shared hashes a text offers in the first round.
-OFFERS = 4
 #: Candidates are broadcast to the sets up to this number.
 BROADCAST_ROWS = 1 << 21
 
 
-def shingles(words: list[bytes], shingle: int):
-    """Sorted distinct signed hashes of the shingles of lower-cased words."""
-    import numpy as np
-    from xxhash import xxh64_intdigest
-
-    if not words:
-        return np.empty(0, np.int64)
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        hashes = [xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = [0, *(ends[:-1] + 1).tolist()]
-        hashes = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=False)]
-    return np.unique(np.array(hashes, np.uint64).view(np.int64))
-
-
-def shingle_sets(docs: DataFrame, shingle: int, common=None) -> DataFrame:
-    """(id, digest, n, hashes, prefix) of (id, text); in `prefix` hashes of the sorted array `common` come last."""
+def shingle_sets(docs: DataFrame, shingle: int, similarity: Fraction, common=None) -> DataFrame:
+    """(id, digest, n, fp, hashes, prefix) of (id, text); in `prefix` hashes of the sorted array `common` come last."""
+    num, den = similarity.numerator, similarity.denominator
 
     def run(batches):
         import numpy as np
@@ -62,32 +43,33 @@ def shingle_sets(docs: DataFrame, shingle: int, common=None) -> DataFrame:
             return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.empty(0, np.int64)))
 
         def out(rows):
-            ids, digests, sets, prefixes = zip(*rows, strict=True) if rows else ((), (), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists(sets), lists(prefixes)], ["id", "digest", "n", "hashes", "prefix"])
+            ids, digests, fps, sets, prefixes = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.int64()), lists(sets), lists(prefixes)], ["id", "digest", "n", "fp", "hashes", "prefix"])
 
         rows, held = [], 0
         for doc_id, body in arrow_rows(batches, "id", "text"):
-            hashes = shingles((body or b"").lower().split(), shingle)
+            every = shingle_hashes((body or b"").lower().split(), shingle)
+            hashes = np.unique(every.view(np.int64))
             n, ordered = len(hashes), hashes
             if len(last) and n:
                 known = last[np.minimum(np.searchsorted(last, hashes), len(last) - 1)] == hashes
                 ordered = np.concatenate((hashes[~known], hashes[known]))
             digest = xxh64_intdigest(hashes.tobytes(), SEED)
-            rows.append((doc_id, digest - (1 << 64) if digest >> 63 else digest, hashes, ordered[: n - (4 * n + 4) // 5 + 1]))
+            rows.append((doc_id, digest - (1 << 64) if digest >> 63 else digest, majority(every), hashes, ordered[: n - -(-num * n // den) + 1]))
             held += n
             if held >= 500_000 or len(rows) >= 5_000:
                 yield out(rows)
                 rows, held = [], 0
         yield out(rows)
 
-    return docs.mapInArrow(run, "id long, digest long, n long, hashes array<long>, prefix array<long>")
+    return docs.mapInArrow(run, "id long, digest long, n long, fp long, hashes array<long>, prefix array<long>")
 
 
-def common_hashes(docs: DataFrame, shingle: int, sample: int, least: int) -> list[int]:
+def common_hashes(docs: DataFrame, shingle: int, similarity: Fraction, sample: int, least: int) -> list[int]:
     """Sorted hashes in at least `least` of the sampled texts; the bound rises until MOST_COMMON are enough."""
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0)
     scratch = Scratch(docs.sparkSession, "shingle-counts")
-    counted = scratch.write(shingle_sets(some, shingle).select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least))
+    counted = scratch.write(shingle_sets(some, shingle, similarity).select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least))
     total, bound = 0, None
     for n, many in sorted(((r["n"], r["many"]) for r in counted.groupBy("n").agg(F.count(F.lit(1)).alias("many")).collect()), reverse=True):
         total += many
@@ -99,59 +81,57 @@ def common_hashes(docs: DataFrame, shingle: int, sample: int, least: int) -> lis
     return out
 
 
-def _similar(scratch: Scratch, docs: DataFrame, shingle: int, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of rows whose sets are at 0.8 or more. Whole sets are made again for candidates only, to save disk."""
+def _similar(scratch: Scratch, docs: DataFrame, shingle: int, similarity: Fraction, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of rows whose sets are similar. Whole sets are made again for candidates only, to save disk."""
     rows = pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct()
     wanted = scratch.write(sets.join(rows, F.col("row") == F.col("want"), "left_semi").select("row", F.col("id").alias("wid"), F.col("digest").alias("wd"), F.col("n").alias("wn")))
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    again = shingle_sets(docs.join(few, F.col("id") == F.col("wid"), "left_semi"), shingle).select("id", "digest", "n", "hashes")
+    again = shingle_sets(docs.join(few, F.col("id") == F.col("wid"), "left_semi"), shingle, similarity).select("id", "digest", "n", "hashes")
     held = scratch.write(again.join(few, (F.col("id") == F.col("wid")) & (F.col("digest") == F.col("wd")) & (F.col("n") == F.col("wn"))).select("row", "n", "hashes"))
     first = held.select(F.col("row").alias("ra"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
     second = held.select(F.col("row").alias("rb"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
     both = pairs.join(first, F.col("a") == F.col("ra")).join(second, F.col("b") == F.col("rb"))
-    out = scratch.write(both.where(F.size(F.array_intersect("ha", "hb")) * 9 >= (F.col("na") + F.col("nb")) * 4).select("a", "b"))
+    # |A & B| / |A | B| >= p / q  iff  |A & B| (p + q) >= (|A| + |B|) p
+    p, q = similarity.numerator, similarity.denominator
+    out = scratch.write(both.where(F.size(F.array_intersect("ha", "hb")) * (p + q) >= (F.col("na") + F.col("nb")) * p).select("a", "b").distinct())
     scratch.drop(held)
+    scratch.drop(wanted)
     return out
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, text: str = "text", key: str = "doc_id", sample: int = SAMPLE, least: int = COMMON) -> DataFrame:
-    """(doc_id, component_id) for every document: the smallest doc_id reachable over pairs at 0.8 or more."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "shingle-join")
-    narrow = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    common = common_hashes(narrow, shingle, sample, least)
-    sets = scratch.write(shingle_sets(narrow, shingle, common).drop("hashes").withColumn("row", F.monotonically_increasing_id()))
-    reps = scratch.write(sets.groupBy("digest", "n").agg(F.min("row").alias("rep"), F.min("id").alias("least_id")))
-    posts = sets.select("row", "n", "prefix").join(reps.select("rep"), F.col("row") == F.col("rep"), "left_semi")
-    posts = posts.select("row", "n", F.posexplode("prefix").alias("pos", "h"))
-    held = scratch.write(posts.withColumn("texts", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("texts > 1").drop("texts"))
-
-    one = F.struct("row", "n")
-    hubs = scratch.write(held.groupBy("h").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.min_by(one, F.xxhash64("row")).alias("mid")).withColumnRenamed("h", "hh"))
-    offers = held.groupBy("row", "n").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "h"))), 1, OFFERS).alias("offers")).select("row", "n", F.explode("offers.h").alias("h"))
-    star = offers.join(hubs, F.col("h") == F.col("hh")).select("row", "n", F.explode(F.array("lo", "hi", "mid")).alias("hub"))
-    star = star.where((F.col("row") != F.col("hub.row")) & (F.least("n", "hub.n") * 5 >= F.greatest("n", "hub.n") * 4))
-    star = scratch.write(star.select(F.least("row", "hub.row").alias("a"), F.greatest("row", "hub.row").alias("b")).distinct())
-    linked = _similar(scratch, narrow, shingle, sets, star)
-    roots = connected_components(scratch, linked)
-
-    placed = scratch.write(held.join(roots, F.col("row") == F.col("node"), "left").select("row", "n", "pos", "h", F.coalesce("root", "row").alias("comp")))
-    scratch.drop(held)
-    open_ = scratch.write(placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("h").alias("oh")))
-    left = scratch.write(placed.join(open_, F.col("h") == F.col("oh"), "left_semi"))
-    scratch.drop(placed)
-    x, y = left.alias("x"), left.alias("y")
+def _prefix_pairs(scratch: Scratch, nodes: DataFrame, similarity: Fraction) -> DataFrame:
+    """(a, b): candidates of `nodes` (node, n, prefix, comp) in different components that share a hash of their prefixes."""
+    p, q = similarity.numerator, similarity.denominator
+    posts = nodes.select("node", "n", "comp", F.posexplode("prefix").alias("pos", "h"))
+    open_ = scratch.write(posts.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h"))
+    left = scratch.write(posts.join(open_, "h", "left_semi"))
+    most = left.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"))
+    left = left.join(most, "h")
+    x, y = left.where("comp <> most").alias("x"), left.alias("y")
     rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))  # holds at the first hash a pair shares
-    met = (F.col("x.h") == F.col("y.h")) & (F.col("x.row") < F.col("y.row")) & (F.col("x.comp") != F.col("y.comp"))
-    met = met & (F.least("x.n", "y.n") * 5 >= F.greatest("x.n", "y.n") * 4) & (rest * 9 >= (F.col("x.n") + F.col("y.n")) * 4)
-    cross = scratch.write(x.join(y, met).select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct())
-    more = _similar(scratch, narrow, shingle, sets, cross)
-    roots = connected_components(scratch, linked.unionByName(more))
-
-    found = reps.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("d"), F.col("n").alias("m"), "least_id", F.coalesce("root", "rep").alias("comp"))
-    found = scratch.write(found)
-    least_ids = found.groupBy("comp").agg(F.min("least_id").alias("component_id")).withColumnRenamed("comp", "c")
-    classes = scratch.write(found.join(least_ids, F.col("comp") == F.col("c")).select("d", "m", "component_id"))
-    out = scratch.write(sets.select("id", "digest", "n").join(classes, (F.col("digest") == F.col("d")) & (F.col("n") == F.col("m"))).select(F.col("id").alias("doc_id"), "component_id"))
-    scratch.drop(sets)
+    met = (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("x.node") < F.col("y.node")) | (F.col("y.comp") == F.col("y.most")))
+    met = met & (F.least("x.n", "y.n") * q >= F.greatest("x.n", "y.n") * p) & (rest * (p + q) >= (F.col("x.n") + F.col("y.n")) * p)
+    out = scratch.write(x.join(y, met).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
     return out
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4, parts: int = 3, text: str = "text", key: str = "doc_id", sample: int = SAMPLE, least: int = COMMON) -> DataFrame:
+    """(doc_id, fp, component_id) for every document: the smallest doc_id reachable over pairs at `similarity` or more."""
+    bound = Fraction(str(similarity))
+    scratch = Scratch(docs.sparkSession, "shingle-join")
+    w = scratch.write
+    narrow = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    common = common_hashes(narrow, shingle, bound, sample, least)
+    sets = w(shingle_sets(narrow, shingle, bound, common).drop("hashes").withColumn("row", F.monotonically_increasing_id()))
+    reps = w(sets.groupBy("digest", "n").agg(F.min("row").alias("node"), F.min("id").alias("least_id"), F.first("fp").alias("fp")))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return _similar(scratch, narrow, shingle, bound, sets, pairs)
+
+    near = components_of(scratch, reps.select("node", "fp"), radius, parts, verify).drop("fp")
+    first = sets.select(F.col("row").alias("node"), "n", "prefix").join(near, "node")
+    nodes = w(joined_up(scratch, near, verify(_prefix_pairs(scratch, first, bound))))
+    found = w(reps.join(nodes, "node").select("digest", "n", "least_id", "comp"))
+    least_ids = found.groupBy("comp").agg(F.min("least_id").alias("component_id"))
+    classes = w(found.join(least_ids, "comp").select("digest", "n", "component_id"))
+    return w(sets.select("id", "digest", "n", "fp").join(classes, ["digest", "n"]).select(F.col("id").alias("doc_id"), "fp", "component_id"))

@@ -1,48 +1,66 @@
 """SimHash near-duplicate detection by multi-index hashing.
 
-A document's fingerprint is the bitwise majority of the XXH64 hashes of its word shingles.
-Equal fingerprints are collapsed first, so a group of copies costs one row from there on. The
-distinct fingerprints are cut into segments; every fingerprint probes each segment's table with
-all values in a small Hamming ball around its own segment value, fetches the matches, and the
-complete distance decides. With s segments and ball radius b every pair within s*(b+1)-1 bits is
-found (pigeonhole), so the result is exact for radii up to that bound.
-
-Edge cases: a null text counts as empty; an empty text has fingerprint zero, linked like any
-other; texts with fewer words than a shingle hash the whole word sequence; repeated rows and
-ties give one component whose id is the smallest doc_id; rows with a null doc_id are not
-documents and are left out; extra columns are ignored; an empty table gives an empty result.
+A document's fingerprint is the bitwise majority of the XXH64 hashes of its word shingles. Equal fingerprints are
+collapsed first, so a group of copies costs one row from there on. The distinct fingerprints are cut into segments;
+every fingerprint probes each segment's table with all values in a small Hamming ball around its own segment value,
+fetches the matches, and the complete distance decides. With s segments and ball radius b every pair within
+s*(b+1)-1 bits is found (pigeonhole), so the result is exact for radii up to that bound.
+
+A large group of near copies must not make all its pairs. So links are found in two rounds: first every fingerprint is
+compared with one other of each of its own table entries, which joins most of a group into one component; then tables
+are probed for links between different components only. An entry's members from the component that fills most of it
+are never probed by that component's fingerprints. What is left out lies inside one component already.
+
+With a `similarity`, links are also verified by exact Jaccard similarity of the shingle sets, and pairs that no
+fingerprint distance shows are added by ``shingle_join``: at a similarity of 0.8 fingerprints differ in about 10 of 64
+bits, which no selective table covers.
+
+Edge cases: a null text counts as empty; an empty text has fingerprint zero, linked like any other; texts with fewer
+words than a shingle hash the whole word sequence; very long texts are read whole, in one task; repeated rows and
+ties give one component whose id is the smallest doc_id; rows with a null doc_id are not documents and are left out; ids
+must be integers (others are refused); extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadlake.llm._common import Scratch, arrow_rows, table
+from quadlake.llm._common import Scratch, arrow_rows, integral, table
 from quadlake.llm.components import connected_components
 
 SEED = 42
 
 
-def fingerprint(words: list[bytes], shingle: int) -> int:
-    """64-bit fingerprint of lower-cased words: a bit is set if set in over half of the shingle hashes."""
+def shingle_hashes(words: list[bytes], shingle: int):
+    """XXH64 of every shingle, repeats included; fewer words than a shingle are one."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = [0, *(ends[:-1] + 1).tolist()]
-        hashes = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=False)]
-    bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8)).reshape(-1, 64)
-    ones = bits.sum(0, dtype=np.int64) * 2 > len(hashes)
-    return int(np.packbits(ones).view(">u8")[0])
+        return np.array([xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = [0, *(ends[:-1] + 1).tolist()]
+    return np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=False)], np.uint64)
+
+
+def majority(hashes) -> int:
+    """Signed fingerprint of shingle hashes: a bit is set if set in over half of them."""
+    import numpy as np
+
+    if not len(hashes):
+        return 0
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        bits = np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, 64)
+        ones += bits.sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes)).view(">i8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -52,16 +70,15 @@ def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text", key: str
         import pyarrow as pa
 
         ids, fps = [], []
-        for doc_id, body in arrow_rows(batches, key, text):
-            value = fingerprint((body or b"").lower().split(), shingle)
+        for doc_id, body in arrow_rows(batches, "doc_id", "text"):
             ids.append(doc_id)
-            fps.append(value - (1 << 64) if value >> 63 else value)
+            fps.append(majority(shingle_hashes((body or b"").lower().split(), shingle)))
             if len(ids) >= 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
                 ids, fps = [], []
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).mapInArrow(run, "doc_id long, fp long")
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def segments(count: int) -> list[tuple[int, int]]:
@@ -75,47 +92,93 @@ def ball(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
 
 
-def _probes(masks, value, part: int):
-    return F.transform(masks, lambda mask: F.struct(F.lit(part).alias("part"), value.bitwiseXOR(mask).alias("value")))
+def _entries(nodes: DataFrame, parts: int) -> DataFrame:
+    """The columns of `nodes` with part and value: one row per segment of the fingerprint fp."""
+    cells = [F.struct(F.lit(i).alias("part"), _segment(F.col("fp"), shift, width).alias("value")) for i, (shift, width) in enumerate(segments(parts))]
+    return nodes.select("*", F.explode(F.array(*cells)).alias("at")).select(*nodes.columns, "at.part", "at.value")
+
+
+def _segment(value, shift: int, width: int):
+    return F.shiftrightunsigned(value, shift).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def hub_links(nodes: DataFrame, radius: int, parts: int) -> DataFrame:
+    """(a, b), a < b: every one of `nodes` (node, fp) with the least node of each of its table entries, if within `radius`."""
+    entries = _entries(nodes, parts)
+    hubs = entries.groupBy("part", "value").agg(F.min(F.struct("node", "fp")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = entries.join(hubs, ["part", "value"]).where((F.col("node") != F.col("hub.node")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= radius))
+    return met.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def links(fps: DataFrame, radius: int = 4, parts: int = 3) -> DataFrame:
-    """(a, b), a < b: pairs of distinct fingerprints at `radius` or fewer differing bits, each once."""
+def cross_links(nodes: DataFrame, radius: int = 4, parts: int = 3) -> DataFrame:
+    """(a, b), a < b: pairs of `nodes` (node, fp, comp) at `radius` or fewer differing bits in different components, each once."""
     reach = radius // parts
-    tables, probes = [], []
     cuts = segments(parts)
+    entries = _entries(nodes, parts)
+    shares = entries.groupBy("part", "value", "comp").agg(F.count(F.lit(1)).alias("n"))
+    most = shares.groupBy("part", "value").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"))
+    held = entries.select(F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("comp").alias("ca"), "part", "value").join(most, ["part", "value"])
+    probes = []
     for i, (shift, width) in enumerate(cuts):
-        value = F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << width) - 1))
-        tables.append(F.struct(F.lit(i).alias("part"), value.alias("value")))
+        own = _segment(F.col("fp"), shift, width)
         masks = F.array(*[F.lit(m).cast("long") for m in ball(width, reach)])
-        probes.append(_probes(masks, value, i))
-    held = fps.select(F.col("fp").alias("a"), F.explode(F.array(*tables)).alias("at")).select("a", "at.part", "at.value")
-    asked = fps.select(F.col("fp").alias("b"), F.explode(F.flatten(F.array(*probes))).alias("at")).select("b", F.col("at.part").alias("qpart"), F.col("at.value").alias("qvalue"))
-    apart = F.col("a").bitwiseXOR(F.col("b"))
-    near = (F.col("a") < F.col("b")) & (F.bit_count(apart) <= radius)
+        probes.append(_probes(masks, own, i))
+    asked = nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("comp").alias("cb"), F.explode(F.flatten(F.array(*probes))).alias("at"))
+    asked = asked.select("b", "fb", "cb", "at.part", "at.value").join(most, ["part", "value"])  # entries that exist
+    apart = F.col("fa").bitwiseXOR(F.col("fb"))
+    near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.bit_count(apart) <= radius)
     for i, (shift, width) in enumerate(cuts[:-1]):  # a pair counts in the first segment that finds it
-        far = F.bit_count(F.shiftrightunsigned(apart, shift).bitwiseAND(F.lit((1 << width) - 1))) > reach
-        near = near & ((F.col("part") <= i) | far)
-    return asked.join(held, (F.col("part") == F.col("qpart")) & (F.col("value") == F.col("qvalue")) & near).select("a", "b")
+        near = near & ((F.col("part") <= i) | (F.bit_count(_segment(apart, shift, width)) > reach))
+    rest = asked.drop("most").join(held.where("ca <> most").drop("most"), ["part", "value"]).where(near)
+    main = asked.where("cb <> most").drop("most").join(held.where("ca = most").drop("most"), ["part", "value"]).where(near)
+    return rest.select("a", "b").unionByName(main.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, parts: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
+def _probes(masks, value, part: int):
+    return F.transform(masks, lambda mask: F.struct(F.lit(part).alias("part"), value.bitwiseXOR(mask).alias("value")))
+
+
+def components_of(scratch: Scratch, nodes: DataFrame, radius: int, parts: int, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, fp, comp) of `nodes` (node, fp): the least node reachable over links within `radius` that ``verify`` keeps."""
+    w = scratch.write
+    check = verify or (lambda pairs: pairs)
+    first = connected_components(scratch, check(w(hub_links(nodes, radius, parts))))
+    placed = w(grouped(nodes, first, "node"))
+    pairs = check(w(cross_links(placed, radius, parts)))
+    return w(joined_up(scratch, placed, pairs))
+
+
+def grouped(nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """`nodes` with comp: the root of the node, or the node itself."""
+    at = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    return nodes.join(at, F.col(node) == F.col("_node"), "left").withColumn("comp", F.coalesce("_root", node)).drop("_node", "_root")
+
+
+def joined_up(scratch: Scratch, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`nodes` (node, ..., comp) with components that any of `pairs` (a, b) links made one."""
+    comp = nodes.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
+    ends = pairs.join(comp.withColumnsRenamed({"_n": "a", "_c": "ra"}), "a").join(comp.withColumnsRenamed({"_n": "b", "_c": "rb"}), "b").select("ra", "rb")
+    roots = connected_components(scratch, ends)
+    return grouped(nodes.withColumnRenamed("comp", "_old"), roots, "_old").drop("_old")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, parts: int = 3, similarity: float | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, fp, component_id) for every document: the smallest doc_id reachable over fingerprint links.
 
     ``parts`` trades probes for selectivity: a segment should hold about log2 of the number of distinct
-    fingerprints in bits (3 up to some 10^8 of them, 2 beyond); every choice gives the same links.
+    fingerprints in bits (3 up to some 10^8 of them, 2 beyond); every choice gives the same links. With ``similarity``
+    the links are the pairs of texts whose sets of shingles have at least that Jaccard similarity.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
+    integral(docs, key)
+    if similarity is not None:
+        from quadlake.llm.shingle_join import similar_documents
+
+        return similar_documents(docs, shingle, similarity, radius, parts, text, key)
+    scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.write(fingerprints(docs, shingle, text, key))
-    reps = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    near = scratch.write(links(reps.select("fp"), radius, parts))
-    first = reps.select(F.col("fp").alias("a"), F.col("rep").alias("rep_a"))
-    second = reps.select(F.col("fp").alias("b"), F.col("rep").alias("rep_b"))
-    roots = connected_components(scratch, near.join(first, "a").join(second, "b").select("rep_a", "rep_b"))
-    classes = reps.join(roots, reps["rep"] == roots["node"], "left").select(F.col("fp").alias("class_fp"), F.coalesce("root", "rep").alias("component_id"))
-    classes = scratch.write(classes)
-    return fps.join(classes, F.col("fp") == F.col("class_fp"), "left").select("doc_id", "fp", "component_id")
+    reps = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    classes = components_of(scratch, reps, radius, parts).select(F.col("fp").alias("class_fp"), F.col("comp").alias("component_id"))
+    return fps.join(classes, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -79,9 +79,21 @@ def test_links_are_complete(spark, radius, parts):
                 v ^= 1 << b
             values.add(v)
     signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
-    got = [tuple(r) for r in simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), radius, parts).collect()]
-    expected = {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) % (1 << 64)).count("1") <= radius}
-    assert len(got) == len(set(got)) and set(got) == expected
+    near = {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) % (1 << 64)).count("1") <= radius}
+    for comp in (lambda v: v, lambda v: v % 3, lambda v: 0):
+        nodes = spark.createDataFrame([(v, v, comp(v)) for v in signed], "node long, fp long, comp long")
+        got = [tuple(r) for r in simhash.cross_links(nodes, radius, parts).collect()]
+        assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in near if comp(a) != comp(b)}
+
+
+def test_large_group_makes_few_links(spark):
+    """Near copies of one text: a star of links joins them, and no pairs within the component are made."""
+    base, rng = 0x1234_5678_9ABC_DEF0, random.Random(2)
+    nodes = spark.createDataFrame(sorted({(base ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)),) for _ in range(800)}), "fp long").selectExpr("fp as node", "fp").cache()
+    n, hubs = nodes.count(), simhash.hub_links(nodes, 4, 3).count()
+    assert n > 600 and hubs < 4 * n
+    joined = nodes.selectExpr("node", "fp", "0L as comp")
+    assert simhash.cross_links(joined, 4, 3).count() == 0
 
 
 def test_induced_sorting():

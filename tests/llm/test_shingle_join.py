@@ -52,14 +52,14 @@ def brute(rows):
 def test_components(spark, sample, least):
     rows = corpus()
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int")
-    got = {r.doc_id: r.component_id for r in shingle_join.near_duplicates(docs, sample=sample, least=least).collect()}
+    got = {r.doc_id: r.component_id for r in shingle_join.similar_documents(docs, sample=sample, least=least).collect()}
     want = brute(rows)
     assert got == want and len(set(want.values())) < len(want) - 20
 
 
 def test_stage(spark):
     rows = corpus()
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame([*rows, rows[3], rows[3], (3, rows[3][1].lower() + " ")], "doc_id long, text string")
     kept = [r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
     assert sorted(i for i in kept if i is not None) == sorted(i for i, c in brute(rows).items() if i == c)
     assert kept.count(None) == 1
