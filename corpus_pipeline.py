@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlake.llm import decontaminate, mixing, pii, shingle_join, toxicity
+from quadlake.llm import decontaminate, mixing, pii, simhash, toxicity
 from quadlake.llm._common import Scratch, table
 
 #: A document goes if its toxicity is at least this.
 REJECT = 0.5
-#: Near duplicates: words of a shingle. Texts are linked at a shingle similarity of 0.8 or more.
-SHINGLE = 5
+#: Near duplicates: words of a shingle, and the similarity of shingle sets from which texts are linked.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,13 +26,30 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of every group of near duplicates; rows without a doc_id stay."""
-    classes = shingle_join.near_duplicates(docs, shingle=SHINGLE)
-    name = "dropped_id"
-    while name in docs.columns:
-        name += "_"
-    dropped = Scratch(spark, "pipeline").write(classes.where("doc_id <> component_id").select(F.col("doc_id").alias(name)))
-    return docs.join(dropped, F.col("doc_id") == F.col(name), "left_anti")
+    """One row of every group of near duplicates: of its smallest doc_id, and of rows that repeat it the one with the least text hash.
+
+    Rows that repeat a doc_id count as one document; rows without a doc_id stay.
+    """
+    scratch = Scratch(spark, "pipeline")
+    classes = simhash.near_duplicates(docs, shingle=SHINGLE, similarity=SIMILARITY)
+    names = []
+    for name in ("dropped_id", "twice"):
+        while name in docs.columns:
+            name += "_"
+        names.append(name)
+    dropped_id, twice = names
+    found = scratch.write(classes.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("rows")))
+    dropped = found.where("least < doc_id").select(F.col("doc_id").alias(dropped_id))
+    kept = docs.join(dropped, F.col("doc_id") == F.col(dropped_id), "left_anti")
+    # Ids of several rows are rare; only their rows are compared.
+    several = scratch.write(found.where("rows > 1 and least = doc_id").select(F.col("doc_id").alias(twice)))
+    if several.isEmpty():
+        return kept
+    single = kept.join(several, F.col("doc_id") == F.col(twice), "left_anti")
+    again = kept.join(several, F.col("doc_id") == F.col(twice), "left_semi")
+    row = F.struct(F.xxhash64("text").alias("_order"), *[F.col(f"`{c}`") for c in docs.columns])
+    one = again.groupBy(F.col("doc_id").alias("_id")).agg(F.min(row).alias("_row")).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    return single.unionByName(one)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
