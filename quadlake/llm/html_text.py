@@ -1,22 +1,24 @@
 """Main text of HTML pages, with site templates removed.
 
 1. A light parser (no library) reads a page into elements and text blocks; end tags that HTML implies are
-   supplied. Every element subtree with text gets a hash of its tags and text.
-2. Spark counts on how many pages of a host each subtree recurs (counted in the task first, so a host that
-   holds a third of all pages is a few rows per task). Subtrees on at least `min_pages` pages and
-   `min_share` of the host's pages are its template. A host has at most (subtrees per page / min_share) of
-   them, so the list that a page needs is short.
+   supplied. Every element subtree with text gets a hash of its tags, its text and the hashes inside it.
+2. Spark counts on how many pages of a host each subtree recurs. Pages with the same main part count as one, so that
+   copies of an article are no template. Rows are pre-aggregated in the task, so a host that holds a third of all pages is
+   a few rows per task. Subtrees on at least `min_pages` pages and `min_share` of the host's pages are its template. A host
+   has at most (subtrees per page / min_share) of them, so the list that a page needs is short.
 3. The second reading drops template subtrees, elements that are never main text (menus, headers, footers,
    sidebars, notices, adverts, forms, scripts, styles, reader comments) and, where a page marks its
-   article or main part, everything outside it.
+   article or main part, everything outside it. A subtree that holds the marked part is never dropped, and one inside
+   it only if it has links or controls: a heading that every article has stays.
 
 Blocks are the runs of text between block-level tags; their white space is collapsed and character references are
-decoded. Nothing is capped.
+decoded. Nothing is capped. Reading takes time in proportion to a page, however deep its elements are nested; after a
+quote that nothing closes, quotes in tags count as plain characters.
 
 Edge cases: null or empty html and pages without main text give the empty string; a null URL or one without
-``://`` belongs to the host ''; unclosed, crossed or truncated tags are repaired as far as the nesting allows;
-repeated rows are extracted one by one, and equal pages of a host count as one; an empty table gives an empty
-result; extra columns are ignored.
+``://`` belongs to the host ''; unclosed, crossed or truncated tags are repaired as far as the nesting allows; very long
+pages are read whole; repeated rows are extracted one by one, and equal pages of a host count as one; an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,18 +26,24 @@ from __future__ import annotations
 import html as html_lib
 import re
 from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_hexdigest
 
 from quadlake.llm._common import Scratch, arrow_rows, table
 from quadlake.llm.url_filter import host_of
 
 MIN_PAGES, MIN_SHARE = 5, 0.5
-#: Template lists up to this many hosts are broadcast; longer tables are joined by a shuffle.
-BROADCAST_HOSTS = 100_000
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+#: Template lists of up to this many hosts and subtrees together are broadcast; longer tables are joined by a shuffle.
+BROADCAST_ITEMS = 1 << 20
+
+ASIDE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag: with quoted values, and where a quote is never closed.
+REST, LAX_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"), re.compile(r"([^>]*+)>")
+TEXT = re.compile(r"[^<]+|<")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 TRUNCATED = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 #: Element names of HTML by role.
@@ -43,6 +51,7 @@ RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template",
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"))
 NEVER = frozenset(("nav", "header", "footer", "aside", "form", "button", "select", "option", "input", "svg", "canvas", "object", "audio", "video", "menu", "dialog", "head", "fieldset", "map", "datalist", "legend")) | RAW
+LINKS = frozenset(("a", "button", "input", "select", "option", "form"))
 #: An element of the key closes open elements of the value, up to the nearest scope.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "tfoot": {"tr", "td", "th", "tbody", "thead"}, "body": {"head"}}
 SCOPE = frozenset(("ul", "ol", "dl", "table", "div", "section", "article", "main", "body", "html", "nav", "aside", "header", "footer", "form", "blockquote", "td", "th", "select"))
@@ -60,10 +69,10 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Element:
-    __slots__ = ("tag", "start", "drop", "main", "parts", "heading")
+    __slots__ = ("tag", "start", "drop", "main", "parts", "links", "mains", "inside")
 
-    def __init__(self, tag: str, start: int, drop: bool, main: bool):
-        self.tag, self.start, self.drop, self.main, self.parts, self.heading = tag, start, drop, main, [tag], False
+    def __init__(self, tag: str, start: int, drop: bool, main: bool, parts: list[str], links: int, mains: int, inside: bool):
+        self.tag, self.start, self.drop, self.main, self.parts, self.links, self.mains, self.inside = tag, start, drop, main, parts, links, mains, inside
 
 
 def _marks(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
@@ -88,15 +97,23 @@ def _marks(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]
     return drop, main and not drop
 
 
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
 class Page:
     """Blocks and subtrees of one page."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, bool, bool]] = []  # text, never main text, inside a marked main part
-        self.subtrees: list[tuple[int, int, int]] = []  # hash, first block, end block
+        self.subtrees: list[tuple[int, int, int]] = []  # hash, first block, end block, of what may be a template
         self._open: list[Element] = []
+        self._count: Counter = Counter()  # open elements by tag
         self._text: list[str] = []
+        self._root: list[str] = []
         self._drops = self._mains = 0
+        self._links = self._marked = 0  # links and marked main parts so far
+        self._lax = False
         self._read(source)
 
     def _flush(self) -> None:
@@ -105,6 +122,7 @@ class Page:
             self._text.clear()
             if text:
                 self.blocks.append((text, self._drops > 0, self._mains > 0))
+                (self._open[-1].parts if self._open else self._root).append("=" + xxh64_hexdigest(text))
 
     def _enter(self, tag: str, attributes: str) -> None:
         drop, main = _marks(tag, attributes, self._mains > 0)
@@ -112,25 +130,35 @@ class Page:
             drop = False  # an article's own headline; its other parts are marked by name
         if tag not in INLINE:
             self._flush()
-        element = Element(tag, len(self.blocks), drop, main)
-        self._open.append(element)
+        parts = [tag]
+        if tag in INLINE:  # an inline element writes to the block it is in
+            parts = self._open[-1].parts if self._open else self._root
+        self._open.append(Element(tag, len(self.blocks), drop, main, parts, self._links, self._marked, self._mains > 0))
+        self._count[tag] += 1
+        self._links += tag in LINKS
+        self._marked += main
         self._drops += drop
         self._mains += main
 
     def _leave(self) -> None:
         element = self._open.pop()
+        self._count[element.tag] -= 1
         if element.tag not in INLINE or element.drop:
+            self._open.append(element)
             self._flush()
+            self._open.pop()
         self._drops -= element.drop
         self._mains -= element.main
         if element.tag not in INLINE and len(self.blocks) > element.start:
-            digest = hash_parts(element.tag, element.parts, self.blocks[element.start :])
-            if not element.drop:
-                self.subtrees.append((digest, element.start, len(self.blocks)))
-            if self._open:
-                self._open[-1].parts.append(element.tag)
+            digest = xxh64_hexdigest("\x00".join(element.parts), 7)
+            shell = not element.inside or self._links > element.links
+            if not element.drop and shell and self._marked == element.mains:
+                self.subtrees.append((_signed(int(digest, 16)), element.start, len(self.blocks)))
+            (self._open[-1].parts if self._open else self._root).append(digest)
 
     def _close_until(self, names, scope) -> None:
+        if not any(self._count[n] for n in names):
+            return
         for i in range(len(self._open) - 1, -1, -1):
             tag = self._open[i].tag
             if tag in names:
@@ -145,28 +173,34 @@ class Page:
         cut = TRUNCATED.search(source, max(0, source.rfind("<")))
         end = cut.start() if cut else size
         while at < end:
-            m = TOKEN.match(source, at, end)
-            if m is None:
-                at += 1
-                continue
-            at = m.end()
-            text = m.group(4)
-            if text is not None:
+            if source[at] != "<":
+                m = TEXT.match(source, at, end)
+                at, text = m.end(), m.group()
                 self._text.append(html_lib.unescape(text) if "&" in text else text)
                 continue
-            tag = m.group(2)
-            if tag is None:
+            m = NAME.match(source, at, end)
+            if m is None:
+                m = ASIDE.match(source, at, end)
+                if m is None:
+                    self._text.append("<")
+                at = at + 1 if m is None else m.end()
                 continue
-            tag = tag.lower()
+            rest = None if self._lax else REST.match(source, m.end(), end)
+            if rest is None:
+                self._lax = True
+                rest = LAX_REST.match(source, m.end(), end)
+                if rest is None:
+                    at += 1
+                    continue
+            at, tag, attributes = rest.end(), m.group(2).lower(), rest.group(1)
             if m.group(1):
-                if tag == "p" and not any(e.tag == "p" for e in self._open):
+                if tag == "p" and not self._count["p"]:
                     self._flush()
                 elif tag in VOID:
                     self._text.append(" ")
                 else:
                     self._end(tag)
                 continue
-            attributes = m.group(3)
             if tag in VOID:
                 if tag in INLINE:
                     self._text.append(" " if tag in ("br", "wbr", "img") and tag != "wbr" else "")
@@ -190,6 +224,8 @@ class Page:
         self._flush()
 
     def _end(self, tag: str) -> None:
+        if not self._count[tag]:
+            return
         for i in range(len(self._open) - 1, -1, -1):
             if self._open[i].tag == tag:
                 while len(self._open) > i:
@@ -198,61 +234,55 @@ class Page:
             if tag in INLINE and self._open[i].tag in SCOPE:
                 return
 
+    def main(self) -> list[int]:
+        """The blocks of the main part, templates aside."""
+        kept = [i for i, (_, drop, _) in enumerate(self.blocks) if not drop]
+        return [i for i in kept if self.blocks[i][2]] or kept
+
+    def key(self) -> int:
+        """A hash of the main part, which tells the pages of a host apart."""
+        return _signed(int(xxh64_hexdigest("\x00".join(self.blocks[i][0] for i in self.main())), 16))
+
     def text(self, template: frozenset | set = frozenset()) -> str:
         """The main text: blocks that nothing excludes, in page order."""
-        gone = set()
+        edges = [0] * (len(self.blocks) + 1)
         for digest, first, last in self.subtrees:
             if digest in template:
-                gone.update(range(first, last))
-        kept = [i for i, (_, drop, _) in enumerate(self.blocks) if not drop and i not in gone]
+                edges[first] += 1
+                edges[last] -= 1
+        depth = list(accumulate(edges))
+        kept = [i for i, (_, drop, _) in enumerate(self.blocks) if not drop and not depth[i]]
         marked = [i for i in kept if self.blocks[i][2]]
         return "\n\n".join(self.blocks[i][0] for i in (marked or kept))
 
 
-def hash_parts(tag: str, parts: list[str], blocks: list[tuple[str, bool, bool]]) -> int:
-    """Signed 64-bit hash of a subtree: its element names and its text."""
-    from xxhash import xxh64_intdigest
-
-    value = xxh64_intdigest("\x00".join((tag, " ".join(parts), *(b[0] for b in blocks))), 7)
-    return value - (1 << 64) if value >> 63 else value
-
-
-def distinct_pages(pages: DataFrame) -> DataFrame:
-    """(host, html), copies of a page within a host once. Only pages that have copies are shuffled."""
-    content = F.xxhash64("html")
-    copied = Scratch(pages.sparkSession, "html-copies").write(pages.groupBy(F.col("host").alias("site"), content.alias("copy")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("site", "copy"))
-    if copied.count() <= BROADCAST_HOSTS:
-        copied = F.broadcast(copied)
-    same = (F.col("host") == F.col("site")) & (content == F.col("copy"))
-    once = pages.join(copied, same, "left_anti").select("host", "html")
-    first = pages.join(copied, same, "left_semi").withColumn("copy", content).dropDuplicates(["host", "copy"]).select("host", "html")
-    return once.unionByName(first)
-
-
 def subtree_counts(pages: DataFrame) -> DataFrame:
-    """(host, digest, n): distinct pages of the host that hold the subtree; digest null: all distinct pages of the host."""
+    """(host, digest, n): pages of the host that hold the subtree; digest null: all pages of the host. Pages with one main part count once."""
 
     def run(batches):
         import pyarrow as pa
 
-        seen: Counter = Counter()
+        hosts, keys, lists = [], [], []
 
         def out():
-            rows = list(seen.items())
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int64()), pa.array([n for _, n in rows], pa.int64())], ["host", "digest", "n"])
+            batch = pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["host", "page", "digests"])
+            for column in (hosts, keys, lists):
+                column.clear()
+            return batch
 
         for host, source in arrow_rows(batches, "host", "html"):
-            host = host.decode()
-            seen[host, None] += 1
-            if source:
-                for digest in {d for d, _, _ in Page(source.decode()).subtrees}:
-                    seen[host, digest] += 1
-            if len(seen) >= 200_000:
+            page = Page((source or b"").decode())
+            hosts.append(host.decode())
+            keys.append(page.key())
+            lists.append(sorted({d for d, _, _ in page.subtrees}))
+            if len(hosts) >= 5_000:
                 yield out()
         yield out()
 
-    return distinct_pages(pages).mapInArrow(run, "host string, digest long, n long").groupBy("host", "digest").agg(F.sum("n").alias("n"))
+    read = pages.mapInArrow(run, "host string, page long, digests array<long>")
+    # Of pages with one main part the least list counts, so that reruns agree.
+    once = read.groupBy("host", "page").agg(F.min("digests").alias("digests"))
+    return once.select("host", F.explode(F.concat("digests", F.array(F.lit(None).cast("long")))).alias("digest")).groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n"))
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -269,7 +299,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     kind = dict(pages.dtypes)[key]
     narrow = pages.select(F.col(key).alias("id"), F.col(url).cast("string").alias("url"), host_of(F.col(url)).alias("host"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     known = templates(narrow.select("host", "html"), min_pages, min_share).withColumnRenamed("host", "site")
-    if known.count() <= BROADCAST_HOSTS:
+    items = known.agg(F.coalesce(F.sum(F.size("digests") + F.octet_length("site") + 8), F.lit(0)).alias("n")).first()["n"]
+    if items <= BROADCAST_ITEMS:
         known = F.broadcast(known)
     joined = narrow.join(known, F.col("host") == F.col("site"), "left").select("id", "url", "html", "digests")
 
