@@ -13,8 +13,8 @@ equal pseudonyms in every document, however they are written. Three networks cov
 
 Everything is DataFrame expressions; there is no shuffle, so hot values cost nothing.
 
-Edge cases: a null text stays null with no replacement; an empty text stays empty; text outside
-the matches is never touched; repeated rows get equal results; extra columns pass through unless they
+Edge cases: a null text stays null with no replacement; an empty text stays empty; very long texts are read whole
+and no pattern repeats without bound; text outside the matches is never touched; repeated rows get equal results; extra columns pass through unless they
 have the name of an added column, which is replaced; an empty table gives an empty result. A
 permutation may map a value to itself, about as often as 1 in the size of its format.
 """
@@ -30,7 +30,8 @@ ROUNDS = 8
 #: Replace in production: whoever holds it can invert the pseudonyms.
 DEFAULT_KEY = "quadlake-demo-key"
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}"
+#: A domain has at most 127 labels; the bound also keeps the matcher's stack short on very long ones.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]+\.){1,126}[A-Za-z]{2,24}"
 PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9A-Za-z])"
 IP = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
 DATE = r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])"
@@ -46,8 +47,9 @@ DIGITS = "0123456789"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 HEX = "0123456789abcdef"
 
-#: Dates permuted: 1904-01-01 to 2099-12-31, 49 cycles of 1461 days.
+#: Dates are permuted within 1904-01-01 to 2099-12-31, 49 cycles of 1461 days, or within all other days of the years 1 to 9999.
 EPOCH, DATE_RADICES = "1904-01-01", (49, 1461)
+OLDEST, OTHER_RADICES = "0001-01-01", (1335, 2682)
 
 
 def _digest(key: str, tweak: Column | str, round_: Column, value: Column) -> Column:
@@ -180,11 +182,20 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
+    recent, other = DATE_RADICES[0] * DATE_RADICES[1], OTHER_RADICES[0] * OTHER_RADICES[1]
+    epoch, oldest = F.to_date(F.lit(EPOCH)), F.to_date(F.lit(OLDEST))
+
+    def pair(index: Column, radices: tuple[int, int], tweak: str, spell) -> Column:
+        mixed = permute_pair(F.floor(index / radices[1]), F.pmod(index, F.lit(radices[1])), radices, key, tweak)
+        return _let(mixed, lambda p: spell((p["x"] * radices[1] + p["y"]).cast("int")))
+
     def under(form: str) -> Column:
-        day = F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), F.to_date(F.lit(EPOCH)))
-        mixed = permute_pair(F.floor(day / DATE_RADICES[1]), F.pmod(day, F.lit(DATE_RADICES[1])), DATE_RADICES, key, "date")
-        fresh = _let(mixed, lambda p: F.date_format(F.date_add(F.to_date(F.lit(EPOCH)), (p["x"] * DATE_RADICES[1] + p["y"]).cast("int")), form))
-        return F.when(day.isNotNull() & (day >= 0) & (day < DATE_RADICES[0] * DATE_RADICES[1]), fresh)
+        day = F.try_to_timestamp(m, F.lit(form)).cast("date")
+        near, far, before = F.datediff(day, epoch), F.datediff(day, oldest), F.datediff(epoch, oldest)
+        index = F.when(near < 0, far).otherwise(far - recent)  # among the other days, without a gap
+        inside = pair(near, DATE_RADICES, "date", lambda n: F.date_format(F.date_add(epoch, n), form))
+        outside = pair(index, OTHER_RADICES, "day", lambda n: F.date_format(F.date_add(oldest, F.when(n < before, n).otherwise(n + recent)), form))
+        return F.when((near >= 0) & (near < recent), inside).when((index >= 0) & (index < other), outside)
 
     iso, dotted = under("yyyy-MM-dd"), under("dd.MM.yyyy")
     slashed = F.coalesce(under("MM/dd/yyyy"), under("dd/MM/yyyy"))
