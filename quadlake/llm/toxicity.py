@@ -71,9 +71,10 @@ SPACED = re.compile(r"(?<![^\s\"'(])[^\W_](?: [\w@$!|+€£](?![^\s.,;:!?\"')]))
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 PARTS = re.compile(r"[\W\d_]+")
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
-#: Signs that may stand for a last letter, what may just be punctuation around it, and the longest token decoded:
-#: longer ones are not words.
-SIGNS, QUOTES, LONGEST = "$@€£", ".,;:?\"'()[]{}<>", 64
+#: Signs that may stand for a last letter, what may just be punctuation around it.
+SIGNS, QUOTES = "$@€£", ".,;:?\"'()[]{}<>"
+#: Lattice steps after which a decoding settles on its best reading so far, and the longest token whose reading is remembered.
+SETTLE, REMEMBERED = 256, 64
 
 
 def classes():
@@ -166,13 +167,14 @@ def readings(token: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(token: str, price) -> str:
-    """Viterbi over the lattice: the state is the last three letters, breaks stand before and after."""
+    """Viterbi over the lattice: the state is the last three letters, breaks stand before and after. Time is in proportion to the token."""
 
     def symbol(letter: str) -> int:
         return ord(letter) - 96 if "a" <= letter <= "z" else 0
 
+    settled: list[str] = []
     best: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
-    for options in readings(token):
+    for step, options in enumerate(readings(token), 1):
         following: dict[tuple[int, int, int], tuple[float, str]] = {}
         for state, (cost, text) in best.items():
             for letters, extra in options:
@@ -186,7 +188,11 @@ def decode(token: str, price) -> str:
                 if old is None or new < old:
                     following[at] = new
         best = following
-    return min((cost + float(price[s[0], s[1], s[2], 0]), text) for s, (cost, text) in best.items())[1]
+        if step % SETTLE == 0:
+            (_, text), state = min((value, state) for state, value in best.items())
+            settled.append(text)
+            best = {state: (0.0, "")}
+    return "".join(settled) + min((cost + float(price[s[0], s[1], s[2], 0]), text) for s, (cost, text) in best.items())[1]
 
 
 class Restorer:
@@ -196,6 +202,8 @@ class Restorer:
         self.price, self.known, self.remember = price, {}, remember
 
     def _decoded(self, token: str) -> str:
+        if len(token) > REMEMBERED:
+            return decode(token, self.price)
         out = self.known.get(token)
         if out is None:
             if len(self.known) >= self.remember:
@@ -210,7 +218,7 @@ class Restorer:
         tripled = [c * 3 for c in LETTERS if c * 3 in text]
         if tripled:
             for token in out.copy():
-                if len(token) <= LONGEST and any(t in token for t in tripled):
+                if any(t in token for t in tripled):
                     out.update(self._decoded(token).split())
         for token in tokens.difference(out):
             bare = token.strip(EDGES)
@@ -221,7 +229,7 @@ class Restorer:
                 out.update(part for part in PARTS.split(bare) if part.isalpha())
                 odd = True
             odd = odd or token[0] in READINGS or token[-1] in SIGNS
-            if odd and len(token) <= LONGEST and any(c.isalpha() for c in token):
+            if odd and any(c.isalpha() for c in token):
                 out.update(self._decoded(token.strip(QUOTES)).split())
                 out.update(self._decoded(bare).split())
         if sum(len(t) == 1 for t in tokens) > 1:

@@ -1,6 +1,7 @@
 """Toxicity, decontamination, HTML extraction, exact search, pipeline."""
 
 import random
+import time
 import zlib
 
 import duckdb
@@ -20,6 +21,11 @@ def test_channel_decoding(spark):
     for spelled, word in (("1d10t", "idiot"), ("i d i o t", "idiot"), ("stup!d", "stupid"), ("w0rthl3ss", "worthless"), ("m.o.r.o.n", "moron"), ("clooooown", "clown"), ("IDIOT!!", "idiot")):
         assert word in restorer.words(f"of the {spelled}, and"), spelled
     assert restorer.words("") == set()
+    for joined in ("-".join(["1d10t"] * 20), ".".join(["w0rthl3ss"] * 200), "st" + "u" * 500 + "pid"):  # tokens of any length
+        assert restorer.words(joined) & {"idiot", "worthless", "stupid"}, joined[:40]
+    began = time.perf_counter()
+    restorer.words("q7z!" * 25_000 + " " + "aaa" * 30_000 + " " + "a b " * 25_000)
+    assert time.perf_counter() - began < 60
 
 
 def test_toxicity_learns_without_held_out(spark):
