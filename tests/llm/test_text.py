@@ -1,14 +1,18 @@
 """Toxicity, decontamination, HTML extraction, exact search, pipeline."""
 
+import math
 import random
 import time
 import zlib
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
 from quadlake.llm import decontaminate, html_text, topk, toxicity
+from quadlake.llm._common import Scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -116,19 +120,47 @@ def test_topk_matches_sql(spark):
     assert got == sorted(con.execute(topk.OP7_SQL).fetchall())
 
 
+def brute_topk(rows, k):
+    sound = [(i, [int(math.floor(1024 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and x == x and abs(x) != math.inf for x in v)]
+    out = []
+    for n, (q, a) in enumerate(sound):
+        if q % 100 == 0:
+            scores = [(sum(x * y for x, y in zip(a, b, strict=False)), i) for m, (i, b) in enumerate(sound) if m != n]
+            best = sorted((-min(2**63 - 1, max(1 - 2**63, s)), i) for s, i in scores)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
 def test_topk_edges(spark):
+    """Unsound, short, empty, repeated and huge vectors; query rows that repeat an id."""
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, [-1.0, 9e9]), (4, [nan, 1.0]), (5, [inf]), (6, None), (7, [None, 1.0]), (8, [2.0]), (9, []), (None, [1.0]), (100, [0.1, 0.1]), (2, [1.0, 0.5])]
+    rows += [(100, [0.1, 0.1]), (100, [-3.0]), (11, [1e16, 2.0]), (12, [-1e300]), (13, [3e15, -7.5]), (200, [1e13, 1.0]), (300, [0.0])]
     df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, pack int")
-    sound = [(i, [int(1024 * x // 1) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and x == x and abs(x) != inf for x in v)]
-    got = sorted(tuple(r) for r in topk.top_inner_products(df, df.where("vec_id % 100 = 0"), k=4).collect())
-    expected = []
-    for q, a in sound:
-        if q % 100 == 0:
-            found = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in sound if i != q)[:4]
-            expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
-    assert got == sorted(expected)
-    assert topk.top_inner_products(df, df.limit(0)).count() == 0
+    asks = F.col("vec_id") % 100 == 0
+    for k, block_rows in ((4, 3), (10, 256), (40, 2)):
+        got = sorted(tuple(r) for r in topk.top_inner_products(df, asks, k=k, block_rows=block_rows).collect())
+        assert got == brute_topk(rows, k)
+    assert topk.top_inner_products(df.limit(0), asks).count() == 0
+    assert topk.top_inner_products(df.where("vec_id = 1"), asks).count() == 0
+    with pytest.raises(TypeError):
+        topk.top_inner_products(df.selectExpr("string(vec_id) as vec_id", "embedding"), asks)
+
+
+def test_topk_ships_few_blocks(spark):
+    """Where ranges of ids lie close together, most pairs of batch and block go before any block is shipped."""
+    rng = random.Random(4)
+    rows = []
+    for group in range(40):
+        centre = [rng.gauss(0, 1) if d // 4 == group % 12 else 0.0 for d in range(48)]
+        rows += [(group * 100 + i, [max(0.0, c + rng.gauss(0, 0.05)) if c else 0.0 for c in centre]) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asks = F.col("vec_id") == 700
+    scratch = Scratch(spark, "test-topk")
+    blocks, _, pairs = topk.candidate_pairs(scratch, df, asks, 10, "vec_id", "embedding", 50)
+    assert blocks.count() >= 80 and 1 <= pairs.count() <= 20
+    got = [tuple(r) for r in topk.top_inner_products(df, asks, block_rows=50).collect()]
+    assert sorted(got) == [r for r in brute_topk(rows, 10) if r[0] == 700]
 
 
 def test_pipeline(spark):
