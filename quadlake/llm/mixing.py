@@ -11,16 +11,17 @@
    random order, as long as they fit. The words taken come within the smallest document left.
 3. The exact block quotas of all sources are split between output shards by a binary tree of
    multivariate-hypergeometric draws; each shard then takes its disjoint range of every source's
-   permuted block draws and orders documents by a random key.
+   permuted block draws and orders documents by a random key. A document is taken once for every draw of
+   its block that some shard got; in a boundary block only if it fits.
 
-The document path is DataFrame expressions only. The tree is drawn in the driver from one row per source:
-`max_sources` bounds that, and more sources are an error. All draws derive from `seed`, doc_id and
-source, so reruns agree.
+The document path is DataFrame expressions only. The tree is drawn in the driver from one row per source, for at most
+`max_sources` of them at a time: more sources are several groups with a tree each, and only one group's tree is held. All
+draws derive from `seed`, doc_id and source, so reruns agree.
 
 Edge cases: a null text has no words; a null source is a source of its own, last in order, and an
 empty name is another; documents without words are taken zero words; repeated rows are documents of
-their own with equal draws; an empty table gives an empty result; extra columns pass through unless
-they have the names of added ones, which are replaced.
+their own with equal draws; very long texts are counted whole; an empty table gives an empty result; extra columns pass through unless they have
+the names of added ones, which are replaced.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
 SEED = 20_240_601
 SHARDS = 64
-BLOCK_DOCS, MAX_BLOCKS, MAX_SOURCES = 512, 1 << 16, 100_000
+BLOCK_DOCS, MAX_BLOCKS, MAX_SOURCES = 512, 1 << 16, 10_000
 ADDED = ("size", "source_size", "target", "placements")
 
 
@@ -103,6 +104,19 @@ def split_tree(quotas: dict[str, int], shards: int, seed: int) -> list[tuple[str
     return out
 
 
+def _trees(scratch: Scratch, counts: DataFrame, groups: int, shards: int, seed: int) -> DataFrame:
+    """(rkey, cells, shard, at, draws): the ranges of all trees, from one row a source; one group of sources at a time."""
+    spark, out = counts.sparkSession, None
+    for g in range(groups):
+        part = counts.where(F.pmod(F.xxhash64("skey"), F.lit(groups)) == g).collect() if groups > 1 else counts.collect()
+        cells = {r["skey"]: r["cells"] for r in part}
+        rows = [{"rkey": name, "cells": cells[name], "shard": shard, "at": at, "draws": n} for name, shard, at, n in split_tree({r["skey"]: r["draws"] for r in part}, shards, seed + g)]
+        made = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<rkey:string,cells:long,shard:int,at:long,draws:long>>")).alias("r")).select("r.*")
+        made = scratch.write(made) if groups > 1 else made
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, shards: int = SHARDS, seed: int = SEED, text: str = "text", source: str = "source", key: str = "doc_id", size: str | None = None, block_docs: int = BLOCK_DOCS, max_blocks: int = MAX_BLOCKS, max_sources: int = MAX_SOURCES) -> DataFrame:
     """`docs` with size, source_size, target and placements: array of (pass, shard, position), one per copy taken.
 
@@ -118,13 +132,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     sized = sized.withColumn("spot", F.xxhash64(F.lit(seed), "id", "skey"))
     narrow = scratch.write(sized.drop("row"))
     totals = scratch.write(narrow.groupBy("src").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("source_size")))
-    known = totals.count()
-    if known > max_sources:
-        raise ValueError(f"{known} sources; the splitting tree is bounded at {max_sources}")
+    groups = max(1, -(-totals.count() // max_sources))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(F.lit(0)).cast("long")
     plan = source_targets(totals, weights, share, cap).withColumn("passes", passes)
     plan = plan.select(_source_key(F.col("src")).alias("pkey"), "source_size", "target", "passes", _blocks_of(F.col("docs"), block_docs, max_blocks).alias("blocks"), F.greatest(F.col("target") - F.col("passes") * F.col("source_size"), F.lit(0.0)).alias("rest"))
-    plan = F.broadcast(scratch.write(plan))  # at most max_sources rows
+    plan = scratch.write(plan)
+    if groups == 1:
+        plan = F.broadcast(plan)  # at most max_sources rows
     placed = narrow.join(plan, F.col("skey") == F.col("pkey")).withColumn("block", F.pmod("spot", "blocks"))
 
     cells = placed.groupBy("skey", "block", "passes", "rest").agg(F.sum("size").alias("words"))
@@ -134,18 +148,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     cells = cells.withColumn("part", part).withColumn("left", F.col("rest") - (F.col("upto") - F.col("words")))
     cells = scratch.write(cells.select("skey", "block", "rank", "part", "left", "passes"))
 
-    counts = cells.groupBy("skey").agg(F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * F.max("passes") + F.count(F.when(F.col("part") != "none", 1))).alias("draws")).collect()  # one row a source
-    tree: dict[str, list] = {}
-    for name_, shard, at, _ in split_tree({r["skey"]: r["draws"] for r in counts}, shards, seed):
-        tree.setdefault(name_, []).append({"at": at, "shard": shard})
-    split = json.dumps([{"rkey": r["skey"], "cells": r["cells"], "ranges": tree.get(r["skey"], [])} for r in counts])
-    ranges = spark.range(1).select(F.explode(F.from_json(F.lit(split), "array<struct<rkey:string,cells:long,ranges:array<struct<at:long,shard:int>>>>")).alias("r")).select("r.*")
-    drawn = cells.join(F.broadcast(ranges), F.col("skey") == F.col("rkey")).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))))
-    drawn = drawn.where((F.col("turn") < F.col("passes")) | (F.col("part") != "none"))
-    # Draws are numbered pass by pass in the permuted order, so the shards' ranges are disjoint.
-    number = F.col("turn") * F.col("cells") + F.col("rank")
-    shard_of = F.element_at(F.filter("ranges", lambda r: r["at"] <= number), -1)["shard"]
-    one = F.struct(F.col("turn").cast("int").alias("pass"), shard_of.alias("shard"), ((F.col("turn") == F.col("passes")) & (F.col("part") == "edge")).alias("edge"))
+    counts = scratch.write(cells.groupBy("skey").agg(F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * F.max("passes") + F.count(F.when(F.col("part") != "none", 1))).alias("draws")))
+    # Draws are numbered pass by pass in the permuted order; each row of the tree is a shard's range of them.
+    number = F.explode(F.sequence("at", F.col("at") + F.col("draws") - 1))
+    trees = _trees(scratch, counts, groups, shards, seed).select("rkey", "cells", "shard", number.alias("number"))
+    draws = trees.select("rkey", "shard", F.expr("number div cells").alias("turn"), F.pmod("number", "cells").alias("place"))
+    drawn = cells.join(draws, (F.col("skey") == F.col("rkey")) & (F.col("rank") == F.col("place")))
+    one = F.struct(F.col("turn").cast("int").alias("pass"), F.col("shard"), ((F.col("turn") == F.col("passes")) & (F.col("part") == "edge")).alias("edge"))
     per_block = drawn.groupBy("skey", "block").agg(F.sort_array(F.collect_list(one)).alias("draws"))
 
     # One boundary block a source: its documents are tried in random order.
@@ -171,7 +180,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken of all documents."""
+    """doc_id, size, source_size, target, taken of all documents; shards, the output shard of each copy taken."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
     out = mix(Scratch(spark, "op5").write(docs), size="words")
-    return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * F.size("placements")).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * F.size("placements")).cast("long").alias("taken"), F.col("placements.shard").alias("shards"))
