@@ -1,16 +1,16 @@
 """URL verdicts: host and path rules first, then a list of canonical URLs.
 
 A URL that no rule fits is looked up in the list. A register-blocked Bloom filter (one 64-bit block
-per URL, four bits each) of the listed canonical URLs is aggregated with bit_or and broadcast: its
-size is bounded by the number of blocks, whatever the length of the list. URLs that pass it are
-possible hits and go to an exact hash join with the list, which removes false positives; all others
-never leave their partition. A URL that holds a third of all rows is one skewed key of a plain
+per URL, four bits each) of the listed canonical URLs is aggregated with bit_or and broadcast. It has
+a block for every listed URL, so about one unlisted URL in a thousand passes, up to MAX_BLOCKS, which bounds the
+broadcast; with a longer list more pass. URLs that pass it are possible hits and go to an exact hash join with the
+list, which removes false positives; all others never leave their partition. A URL that holds a third of all rows is one skewed key of a plain
 left join, which the adaptive planner splits.
 
 Everything is DataFrame expressions.
 
 Edge cases: a null URL or one without ``://`` has empty host and path, and its canonical form is
-empty, which is never listed: such a page is allowed. Repeated rows are judged one by one; an empty
+empty, which is never listed: such a page is allowed. Very long URLs are judged whole. Repeated rows are judged one by one; an empty
 list allows whatever no rule blocks; an empty table gives an empty result; extra columns pass through
 ``judge`` unless they have the names it adds, which it then replaces.
 """
@@ -22,13 +22,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadlake.llm._common import ascii_lower, table
+from quadlake.llm._common import Scratch, ascii_lower, table
 
 #: Production rules: host and path prefix, verdict.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Sites whose pages make up the production list.
 LISTED_SITES = r"(^|\.)(ads-track|casino-win|cheap-pills|free-bets|spam-farm)\.example\.(com|net|org)$"
-BLOCKS = 1 << 18
+MIN_BLOCKS, MAX_BLOCKS = 1 << 10, 1 << 21
 
 
 def host_of(url: Column) -> Column:
@@ -70,32 +70,32 @@ def _mask(url: Column) -> Column:
     return out
 
 
-def bloom(listed: DataFrame, column: str, blocks: int = BLOCKS) -> DataFrame:
+def bloom(listed: DataFrame, column: str, blocks: int) -> DataFrame:
     """(block, word): at most `blocks` rows of 16 bytes."""
     return listed.select(_block(F.col(column), blocks).alias("block"), _mask(F.col(column)).alias("m")).groupBy("block").agg(F.bit_or("m").alias("word"))
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url: str = "url", blocks: int = BLOCKS) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url: str = "url", blocks: int | None = None) -> DataFrame:
     """`pages` with host, path, rule, canonical_url, listed and verdict. `listed` has one column of canonical URLs."""
     added = ("host", "path", "rule", "canonical_url", "listed", "verdict")
     kept = [c for c in pages.columns if c.lower() not in added]
     names = listed.columns[0]
     canon = listed.select(F.col(names).alias("listed_url")).where(F.col("listed_url").isNotNull() & (F.col("listed_url") != "")).distinct()
+    canon = Scratch(pages.sparkSession, "url-list").write(canon)
+    if blocks is None:
+        blocks = min(MAX_BLOCKS, max(MIN_BLOCKS, 1 << canon.count().bit_length()))
     # The caller's columns travel in one struct, so that no name can clash with the ones used here.
     row = F.struct(*[F.col(f"`{c}`") for c in kept], F.lit(1).alias("_")).alias("row")
     parsed = pages.select(row, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), canonical(F.col(url)).alias("canonical_url"))
     ruled = parsed.withColumn("found", rule_for(F.col("host"), F.col("path"), rules))
-    shape = ["row", "host", "path"]
-    settled = ruled.where(F.col("found").isNotNull()).select(*shape, F.col("found.rule").alias("rule"), "canonical_url", F.lit(None).cast("boolean").alias("listed"), F.col("found.verdict").alias("verdict"))
-    open_ = ruled.where(F.col("found").isNull()).withColumn("at", _block(F.col("canonical_url"), blocks)).withColumn("mask", _mask(F.col("canonical_url")))
     filter_ = F.broadcast(bloom(canon, "listed_url", blocks))
-    tried = open_.join(filter_, F.col("at") == F.col("block"), "left").withColumn("maybe", F.coalesce(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False)))
-    shape = [*shape, F.lit(None).cast("string").alias("rule"), "canonical_url"]
-    missed = tried.where(~F.col("maybe")).select(*shape, F.lit(False).alias("listed"), F.lit("allow").alias("verdict"))
-    hits = tried.where("maybe").select(*shape)
-    exact = hits.join(canon.hint("shuffle_hash"), F.col("canonical_url") == F.col("listed_url"), "left").withColumn("listed", F.col("listed_url").isNotNull())
+    tried = ruled.withColumn("at", _block(F.col("canonical_url"), blocks)).withColumn("mask", _mask(F.col("canonical_url"))).join(filter_, F.col("at") == F.col("block"), "left")
+    tried = tried.withColumn("maybe", F.col("found").isNull() & F.coalesce(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False)))
+    shape = ["row", "host", "path", F.col("found.rule").alias("rule"), "canonical_url"]
+    missed = tried.where(~F.col("maybe")).select(*shape, F.when(F.col("found").isNull(), F.lit(False)).alias("listed"), F.coalesce("found.verdict", F.lit("allow")).alias("verdict"))
+    exact = tried.where("maybe").select(*shape).join(canon.hint("shuffle_hash"), F.col("canonical_url") == F.col("listed_url"), "left").withColumn("listed", F.col("listed_url").isNotNull())
     exact = exact.select("row", "host", "path", "rule", "canonical_url", "listed", F.when(F.col("listed"), "block").otherwise("allow").alias("verdict"))
-    return settled.unionByName(missed).unionByName(exact).select(*[F.col("row")[c].alias(c) for c in kept], "host", "path", "rule", "canonical_url", "listed", "verdict")
+    return missed.unionByName(exact).select(*[F.col("row")[c].alias(c) for c in kept], "host", "path", "rule", "canonical_url", "listed", "verdict")
 
 
 def listed_urls(pages: DataFrame, sites: str = LISTED_SITES) -> DataFrame:

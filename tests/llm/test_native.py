@@ -3,7 +3,6 @@
 import re
 
 import duckdb
-import pytest
 from pyspark.sql import functions as F
 
 from quadlake.llm import mixing, pii, url_filter
@@ -109,8 +108,21 @@ def test_mixing(spark):
     again = mixing.mix(docs.repartition(7), shards=5, block_docs=16)
     assert sorted((str(r.doc_id), str(r.source), tuple(r.placements)) for r in again.collect()) == sorted((str(r.doc_id), str(r.source), tuple(r.placements)) for r in out)
     assert mixing.mix(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError, match="sources"):
-        mixing.mix(docs, max_sources=2)
+    several = mixing.mix(docs, shards=5, block_docs=16, max_sources=2).collect()  # groups of sources with a tree each
+    assert sorted((str(r.doc_id), str(r.source), len(r.placements)) for r in several) == sorted((str(r.doc_id), str(r.source), len(r.placements)) for r in out)
+    per_shard = [sum(len([p for p in r.placements if p["shard"] == k]) for r in out) for k in range(5)]
+    assert min(per_shard) > 0.4 * max(per_shard)
+    assert all(len({p["pass"] for p in r.placements}) == len(r.placements) for r in out)
+
+
+def test_taken_is_what_the_shards_drew(spark, monkeypatch):
+    """Without a shard's ranges its documents are not taken."""
+    docs = spark.createDataFrame([(i, "w " * 9, f"s{i % 3}") for i in range(400)], "doc_id long, text string, source string")
+    whole = {r.doc_id: len(r.placements) for r in mixing.mix(docs, shards=4, block_docs=8).collect()}
+    tree = mixing.split_tree
+    monkeypatch.setattr(mixing, "split_tree", lambda *a: [row for row in tree(*a) if row[1] != 2])
+    part = {r.doc_id: len(r.placements) for r in mixing.mix(docs, shards=4, block_docs=8).collect()}
+    assert all(part[i] <= whole[i] for i in whole) and 0 < sum(part.values()) < sum(whole.values())
 
 
 def test_tree_is_exact_and_disjoint():
