@@ -14,8 +14,9 @@ The benchmark is cut into chunks of bounded size; each chunk is one broadcast an
 does not matter. Documents are never shuffled.
 
 Edge cases: null and empty texts match nothing; items without words are never found; items with fewer
-words than a shingle are one shingle, their whole sequence; texts are used whole; repeated rows are judged
-one by one; repeated items each match; an empty benchmark finds nothing; extra columns are ignored by
+words than a shingle are one shingle, their whole sequence; texts are used whole, very long ones in one task; repeated
+rows are judged one by one; repeated items count once, items that repeat an id with other texts each match; ids must be
+integers (others are refused); an empty benchmark finds nothing; extra columns are ignored by
 ``matches`` and pass through ``clean``.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadlake.llm._common import arrow_rows, table
+from quadlake.llm._common import arrow_rows, integral, table
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 22
 BLOCKS, BLOCK_BITS = 8, 8
@@ -175,7 +176,8 @@ class Index:
 
 def chunks(benchmark: DataFrame, chunk_bytes: int = CHUNK_BYTES, item: str = "item_id", text: str = "text"):
     """Lists of (item, text) of bounded size that together hold the whole benchmark."""
-    rows = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).where("item_id is not null and text is not null")
+    integral(benchmark, item)
+    rows = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     total = rows.agg(F.sum(F.octet_length("text") + 64).alias("b")).first()["b"] or 0
     parts = max(1, -(-2 * total // chunk_bytes)) if total > chunk_bytes else 1
     for k in range(parts):
@@ -186,6 +188,7 @@ def chunks(benchmark: DataFrame, chunk_bytes: int = CHUNK_BYTES, item: str = "it
 def matches(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, radius: int = RADIUS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words): the best window of each item found in each document."""
     spark = docs.sparkSession
+    integral(docs, key)
     schema = "doc_id long, item_id long, similarity double, start_word long, n_words long"
     out = None
     for items in chunks(benchmark):
