@@ -5,7 +5,8 @@ hold on the whole sets join most of a group of near copies. What fingerprints do
 sets of similarity t share an element among the first n - ceil(t n) + 1 of each under any common order, so postings of
 prefixes find every pair. The order puts hashes that many texts hold last: a common line costs nothing as long as a
 text has enough of its own. Only pairs of different components are made, and of a posting list's largest component none
-with itself; candidates are verified on the whole sets, in integers.
+with itself. A bitmap of each set (the parity of its hashes by their low bits) bounds the symmetric difference from
+below and drops most candidates that share a passage only; the rest are verified on the whole sets, in integers.
 
 Edge cases: as in ``simhash`` (a null text is empty; empty texts are equal; texts shorter than a shingle are
 one shingle; rows without a key are left out; an empty table gives an empty result).
@@ -23,12 +24,14 @@ from quadlake.llm.simhash import SEED, components_of, joined_up, majority, shing
 
 #: One text in SAMPLE is counted to find common hashes: those in at least COMMON of them, at most 2^17. Any choice gives the same links.
 SAMPLE, COMMON, MOST_COMMON = 16, 6, 1 << 17
+#: Bits of a set's bitmap.
+BITS = 4096
 #: Candidates are broadcast to the sets up to this number.
 BROADCAST_ROWS = 1 << 21
 
 
 def shingle_sets(docs: DataFrame, shingle: int, similarity: Fraction, common=None) -> DataFrame:
-    """(id, digest, n, fp, hashes, prefix) of (id, text); in `prefix` hashes of the sorted array `common` come last."""
+    """(id, digest, n, fp, hashes, prefix, bits) of (id, text); in `prefix` hashes of the sorted array `common` come last."""
     num, den = similarity.numerator, similarity.denominator
 
     def run(batches):
@@ -44,7 +47,8 @@ def shingle_sets(docs: DataFrame, shingle: int, similarity: Fraction, common=Non
 
         def out(rows):
             ids, digests, fps, sets, prefixes = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.int64()), lists(sets), lists(prefixes)], ["id", "digest", "n", "fp", "hashes", "prefix"])
+            bits = [np.packbits(np.bincount(s & (BITS - 1), minlength=BITS) & 1).view(np.int64) for s in sets]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.int64()), lists(sets), lists(prefixes), lists(bits)], ["id", "digest", "n", "fp", "hashes", "prefix", "bits"])
 
         rows, held = [], 0
         for doc_id, body in arrow_rows(batches, "id", "text"):
@@ -62,7 +66,7 @@ def shingle_sets(docs: DataFrame, shingle: int, similarity: Fraction, common=Non
                 rows, held = [], 0
         yield out(rows)
 
-    return docs.mapInArrow(run, "id long, digest long, n long, fp long, hashes array<long>, prefix array<long>")
+    return docs.mapInArrow(run, "id long, digest long, n long, fp long, hashes array<long>, prefix array<long>, bits array<long>")
 
 
 def common_hashes(docs: DataFrame, shingle: int, similarity: Fraction, sample: int, least: int) -> list[int]:
@@ -99,6 +103,16 @@ def _similar(scratch: Scratch, docs: DataFrame, shingle: int, similarity: Fracti
     return out
 
 
+def _may_be_similar(scratch: Scratch, similarity: Fraction, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of rows whose bitmaps allow the similarity."""
+    p, q = similarity.numerator, similarity.denominator
+    first = sets.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    second = sets.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    # |A ^ B| <= (1 - t) / (1 + t) (|A| + |B|), and bits that differ are at most as many.
+    return scratch.write(pairs.join(first, "a").join(second, "b").where(differ * (p + q) <= (F.col("na") + F.col("nb")) * (q - p)).select("a", "b"))
+
+
 def _prefix_pairs(scratch: Scratch, nodes: DataFrame, similarity: Fraction) -> DataFrame:
     """(a, b): candidates of `nodes` (node, n, prefix, comp) in different components that share a hash of their prefixes."""
     p, q = similarity.numerator, similarity.denominator
@@ -130,7 +144,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     near = components_of(scratch, reps.select("node", "fp"), radius, parts, verify).drop("fp")
     first = sets.select(F.col("row").alias("node"), "n", "prefix").join(near, "node")
-    nodes = w(joined_up(scratch, near, verify(_prefix_pairs(scratch, first, bound))))
+    pairs = _may_be_similar(scratch, bound, sets, _prefix_pairs(scratch, first, bound))
+    nodes = w(joined_up(scratch, near, verify(pairs)))
     found = w(reps.join(nodes, "node").select("digest", "n", "least_id", "comp"))
     least_ids = found.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     classes = w(found.join(least_ids, "comp").select("digest", "n", "component_id"))
