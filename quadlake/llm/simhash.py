@@ -8,8 +8,8 @@ s*(b+1)-1 bits is found (pigeonhole), so the result is exact for radii up to tha
 
 A large group of near copies must not make all its pairs. So links are found in two rounds: first every fingerprint is
 compared with one other of each of its own table entries, which joins most of a group into one component; then tables
-are probed for links between different components only. An entry's members from the component that fills most of it
-are never probed by that component's fingerprints. What is left out lies inside one component already.
+are probed for links between different components only. In a crowded entry the members from the component that fills most
+of it are never met by that component's probes. What is left out lies inside one component already.
 
 With a `similarity`, links are also verified by exact Jaccard similarity of the shingle sets, and pairs that no
 fingerprint distance shows are added by ``shingle_join``: at a similarity of 0.8 fingerprints differ in about 10 of 64
@@ -33,6 +33,8 @@ from quadlake.llm._common import Scratch, arrow_rows, integral, table
 from quadlake.llm.components import connected_components
 
 SEED = 42
+#: Members from which a table entry is crowded.
+CROWD = 64
 
 
 def shingle_hashes(words: list[bytes], shingle: int):
@@ -110,28 +112,32 @@ def hub_links(nodes: DataFrame, radius: int, parts: int) -> DataFrame:
     return met.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def cross_links(nodes: DataFrame, radius: int = 4, parts: int = 3) -> DataFrame:
+def cross_links(scratch: Scratch, nodes: DataFrame, radius: int = 4, parts: int = 3, crowd: int = CROWD) -> DataFrame:
     """(a, b), a < b: pairs of `nodes` (node, fp, comp) at `radius` or fewer differing bits in different components, each once."""
     reach = radius // parts
     cuts = segments(parts)
     entries = _entries(nodes, parts)
     shares = entries.groupBy("part", "value", "comp").agg(F.count(F.lit(1)).alias("n"))
-    most = shares.groupBy("part", "value").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"))
-    held = entries.select(F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("comp").alias("ca"), "part", "value").join(most, ["part", "value"])
+    crowded = shares.groupBy("part", "value").agg(F.sum("n").alias("members"), F.max_by("comp", F.struct("n", "comp")).alias("most")).where(F.col("members") >= crowd)
+    crowded = scratch.write(crowded.drop("members"))
+    held = entries.select(F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("comp").alias("ca"), "part", "value")
     probes = []
     for i, (shift, width) in enumerate(cuts):
-        own = _segment(F.col("fp"), shift, width)
         masks = F.array(*[F.lit(m).cast("long") for m in ball(width, reach)])
-        probes.append(_probes(masks, own, i))
+        probes.append(_probes(masks, _segment(F.col("fp"), shift, width), i))
     asked = nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("comp").alias("cb"), F.explode(F.flatten(F.array(*probes))).alias("at"))
-    asked = asked.select("b", "fb", "cb", "at.part", "at.value").join(most, ["part", "value"])  # entries that exist
+    asked = asked.select("b", "fb", "cb", F.col("at.part").alias("qpart"), F.col("at.value").alias("qvalue"))
     apart = F.col("fa").bitwiseXOR(F.col("fb"))
-    near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.bit_count(apart) <= radius)
+    near = (F.col("part") == F.col("qpart")) & (F.col("value") == F.col("qvalue")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.bit_count(apart) <= radius)
     for i, (shift, width) in enumerate(cuts[:-1]):  # a pair counts in the first segment that finds it
         near = near & ((F.col("part") <= i) | (F.bit_count(_segment(apart, shift, width)) > reach))
-    rest = asked.drop("most").join(held.where("ca <> most").drop("most"), ["part", "value"]).where(near)
-    main = asked.where("cb <> most").drop("most").join(held.where("ca = most").drop("most"), ["part", "value"]).where(near)
-    return rest.select("a", "b").unionByName(main.select("a", "b"))
+    if crowded.isEmpty():
+        return asked.join(held, near).select("a", "b")
+    out = asked.join(held.join(crowded, ["part", "value"], "left_anti"), near).select("a", "b")
+    held = held.join(crowded, ["part", "value"])
+    asked = asked.join(crowded.withColumnsRenamed({"part": "qpart", "value": "qvalue", "most": "qmost"}), ["qpart", "qvalue"])
+    out = out.unionByName(asked.join(held.where("ca <> most"), near).select("a", "b"))
+    return out.unionByName(asked.where("cb <> qmost").join(held.where("ca = most"), near).select("a", "b"))
 
 
 def _probes(masks, value, part: int):
@@ -144,7 +150,7 @@ def components_of(scratch: Scratch, nodes: DataFrame, radius: int, parts: int, v
     check = verify or (lambda pairs: pairs)
     first = connected_components(scratch, check(w(hub_links(nodes, radius, parts))))
     placed = w(grouped(nodes, first, "node"))
-    pairs = check(w(cross_links(placed, radius, parts)))
+    pairs = check(w(cross_links(scratch, placed, radius, parts)))
     return w(joined_up(scratch, placed, pairs))
 
 

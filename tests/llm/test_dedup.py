@@ -9,6 +9,7 @@ import pytest
 from xxhash import xxh64_intdigest
 
 from quadlake.llm import induced, simhash, substring_dedup, suffix_dedup, windows
+from quadlake.llm._common import Scratch
 
 EDGE = [(None, "no id " * 30), (900, None), (901, ""), (902, "one"), (903, " \t\n ")]
 
@@ -82,8 +83,9 @@ def test_links_are_complete(spark, radius, parts):
     near = {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) % (1 << 64)).count("1") <= radius}
     for comp in (lambda v: v, lambda v: v % 3, lambda v: 0):
         nodes = spark.createDataFrame([(v, v, comp(v)) for v in signed], "node long, fp long, comp long")
-        got = [tuple(r) for r in simhash.cross_links(nodes, radius, parts).collect()]
-        assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in near if comp(a) != comp(b)}
+        for crowd in (64, 2):
+            got = [tuple(r) for r in simhash.cross_links(Scratch(spark, "links"), nodes, radius, parts, crowd).collect()]
+            assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in near if comp(a) != comp(b)}
 
 
 def test_large_group_makes_few_links(spark):
@@ -93,7 +95,7 @@ def test_large_group_makes_few_links(spark):
     n, hubs = nodes.count(), simhash.hub_links(nodes, 4, 3).count()
     assert n > 600 and hubs < 4 * n
     joined = nodes.selectExpr("node", "fp", "0L as comp")
-    assert simhash.cross_links(joined, 4, 3).count() == 0
+    assert simhash.cross_links(Scratch(spark, "links"), joined, 4, 3).count() == 0
 
 
 def test_induced_sorting():
