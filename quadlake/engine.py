@@ -17,6 +17,7 @@ from quadlake.operators.scan import Dataset, Graph, ground, name_of, nothing
 from quadlake.parser import ast as A
 from quadlake.parser.sparql import parse_query
 from quadlake.plans.compile import Compiler, with_rows
+from quadlake.plans.joinorder import Estimator, baseline
 from quadlake.sources.catalog import QUADS, Catalog
 
 PARSED = 128
@@ -28,6 +29,7 @@ class Engine:
 
     ``functions``: IRI to a function of term columns. ``services``: IRI to a Catalog for SERVICE.
     ``distinct_alternatives``: `p|q` gives each pair once. ``timeout`` (seconds) cancels the jobs of ``run``.
+    ``estimator`` orders the joins of a basic graph pattern (see ``plans.joinorder``); None keeps the written order.
     """
 
     catalog: Catalog
@@ -36,6 +38,7 @@ class Engine:
     services: dict[str, Catalog] = field(default_factory=dict)
     distinct_alternatives: bool = True
     timeout: float | None = None
+    estimator: Estimator | None = baseline
     _parsed: dict = field(default_factory=dict, repr=False)
 
     @property
@@ -52,7 +55,7 @@ class Engine:
 
     def compiler(self, q: A.Query) -> Compiler:
         named = q.default_graphs or q.named_graphs
-        data = Dataset(self.catalog, q.default_graphs if named else None, q.named_graphs if named else None)
+        data = Dataset(self.catalog, q.default_graphs if named else None, q.named_graphs if named else None, self.estimator)
         return Compiler(data, Context(q.base, functions=self.functions), self.distinct_alternatives, self.services)
 
     # ---- query forms
@@ -107,14 +110,14 @@ class Engine:
             for n in names:
                 if n in rel.vars:
                     found.append(rel.df.select(V.to_term(rel.val(n)).alias("x")))
-        quads = self.catalog.all_quads()
         if not found:
-            return quads.select("s", "p", "o").where(F.lit(False))
+            return self.catalog.all_quads().select("s", "p", "o").where(F.lit(False))
         resources = found[0]
         for f in found[1:]:
             resources = resources.unionByName(f)
         resources = resources.where(F.col("x.kind").isin(R.IRI_KIND, R.BNODE)).distinct()
-        return quads.join(resources, F.col("s") == F.col("x"), "left_semi").select("s", "p", "o").distinct()
+        only = None if len(found) > 1 or not constants else [t.value for t in constants]
+        return self.catalog.outgoing(resources, only).select("s", "p", "o").distinct()
 
     def query(self, text: str):
         """A DataFrame for SELECT (term columns), a bool for ASK, triples for CONSTRUCT and DESCRIBE."""
@@ -139,7 +142,7 @@ class Engine:
         """An engine over the updated catalog; this one is unchanged."""
         from quadlake.update import apply
 
-        return Engine(apply(self, text), self.base, self.functions, self.services, self.distinct_alternatives, self.timeout)
+        return Engine(apply(self, text), self.base, self.functions, self.services, self.distinct_alternatives, self.timeout, self.estimator)
 
 
 def show(rel: Rel, names: list[str], decode: str) -> DataFrame:

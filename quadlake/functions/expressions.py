@@ -332,14 +332,52 @@ class Expressions:
         known = F.regexp_replace(given, "q", "")
         return F.when(known.rlike("^[imsx]+$"), F.concat(F.lit("(?"), known, F.lit(")"), quoted)).when(known == "", quoted)
 
-    def _f_regex(self, v, pattern, flags=None):
-        return Val("bool", F.rlike(self._string(v), self._checked(pattern, flags)))
+    def _checked(self, pattern: Val, flags: Val | None) -> tuple[Column, Column]:
+        """(pattern, number of its groups); null if it is invalid: an error of one solution, not of the job."""
+        text = self._pattern(pattern, flags)
+        if pattern.text is not None and (flags is None or flags.text is not None):
+            groups = self._groups(pattern.text, flags.text if flags is not None else "")
+            return (F.lit(None).cast("string"), F.lit(0)) if groups is None else (text, F.lit(groups))
+        valid = F.call_function("try_reflect", F.lit("java.util.regex.Pattern"), F.lit("compile"), text).isNotNull()
+        at_most = F.length(text) - F.length(F.replace(text, F.lit("("), F.lit("")))
+        return F.when(valid, text), at_most
+
+    @staticmethod
+    def _groups(pattern: str, flags: str) -> int | None:
+        """Groups of a constant pattern, which the planner's JVM compiles; None if it or its flags are invalid."""
+        from pyspark import SparkContext
+
+        if set(flags) - set("imsxq"):
+            return None
+        known = flags.replace("q", "")
+        body = f"\\Q{pattern}\\E" if "q" in flags else pattern
+        try:
+            compiled = SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(f"(?{known}){body}" if known else body)
+            return compiled.matcher("").groupCount()
+        except Exception:  # noqa: BLE001  the JVM's PatternSyntaxException
+            return None
 
-    def _checked(self, pattern: Val, flags: Val | None) -> Column:
-        return self._pattern(pattern, flags)
+    def _f_regex(self, v, pattern, flags=None):
+        text, _ = self._checked(pattern, flags)
+        return Val("bool", F.when(text.isNotNull(), F.rlike(self._string(v), text)) if pattern.text is None else F.rlike(self._string(v), text))
 
     def _f_replace(self, v, pattern, by, flags=None):
-        return self._like(v, F.regexp_replace(self._string(v), self._checked(pattern, flags), self._simple(by)))
+        text, groups = self._checked(pattern, flags)
+        new = self._replacement(self._simple(by), groups)
+        return self._like(v, F.when(text.isNotNull(), F.regexp_replace(self._string(v), text, new)))
+
+    @staticmethod
+    def _replacement(by: Column, groups: Column) -> Column:
+        """Replacement text for the regular expressions of the JVM: `$1` to `$9` are groups that the pattern has and `$&` is
+        the match, `$$` and `\\$` are a dollar; everything else is plain text."""
+
+        def spell(token):
+            group = token.substr(F.lit(2), F.lit(1)).try_cast("int")
+            plain = F.replace(F.replace(token, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+            return F.when(token == "$&", "$0").when(token.isin("$$", "\\$"), "\\$").when(token == "\\\\", "\\\\").when(token.rlike("^\\$[0-9]$") & (group <= groups), token).otherwise(plain)
+
+        tokens = F.regexp_extract_all(by, F.lit(r"(?s)\$[0-9&$]|\\[$\\]|[^$\\]+|."), 0)
+        return F.when(by == "", "").otherwise(F.array_join(F.transform(tokens, spell), ""))
 
     def _f_encode_for_uri(self, v):
         text = F.url_encode(self._string(v))

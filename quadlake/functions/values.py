@@ -21,6 +21,7 @@ class Val:
     kind: str
     col: Column
     prefix: str = ""  # of kind key
+    text: str | None = None  # of a constant string
 
     def null_when(self, cond: Column) -> Val:
         return Val(self.kind, F.when(~cond, self.col), self.prefix)
@@ -51,7 +52,7 @@ def constant(term) -> Val:
         if term.dt == R.DECIMAL and _plain_decimal(term.lex):
             return Val("dec", F.lit(term.lex).cast(DECIMAL_TYPE))
         if term.dt == R.STRING:
-            return Val("str", F.lit(term.lex))
+            return Val("str", F.lit(term.lex), text=term.lex)
         if term.dt == R.BOOLEAN and term.lex in ("true", "false"):
             return Val("bool", F.lit(term.lex == "true"))
         if term.dt == R.DATETIME and len(term.lex) == 19 and "T" in term.lex:

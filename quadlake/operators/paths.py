@@ -1,23 +1,35 @@
-"""Property paths as relations of pairs; closures as semi-naive fixpoints over written tables."""
+"""Property paths as relations of pairs; closures as semi-naive fixpoints.
+
+A closure grows from its bound end: a constant, or the distinct values that other patterns bind there (seeds). Every round
+writes the pairs it found first and nothing else.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import functions as F
 
 from quadlake import terms as R
 from quadlake.functions import values as V
 from quadlake.operators.relation import Info, Rel, column_name, join, union
 from quadlake.operators.scan import Dataset, Graph, ground, name_of, nothing, pattern
-from quadlake.scratch import written
+from quadlake.scratch import drop, together, written
 
 FROM, TO, MID = "path from", "path to", "path mid"
 _FROM, _TO = R.Var(FROM), R.Var(TO)
 MAX_ROUNDS = 10_000
 
 
-def scan(data: Dataset, graph: Graph, s, path, o, distinct_alternatives: bool = True) -> Rel:
-    """Solutions of `s path o`."""
-    rel = _Paths(data, graph, distinct_alternatives).pairs(path, s if ground(s) else None, o if ground(o) else None)
+def scan(data: Dataset, graph: Graph, s, path, o, distinct_alternatives: bool = True, seeds: Rel | None = None, nodes: bool = False) -> Rel:
+    """Solutions of `s path o` that may join with `seeds`; with `nodes`, what these bind are nodes of the active graph."""
+    ends = [x if ground(x) else None for x in (s, o)]
+    if seeds is not None and ends == [None, None] and _has_closure(path):
+        at = next(i for i, x in enumerate((s, o)) if name_of(x) in seeds.vars and seeds.vars[name_of(x)].certain)
+        name = name_of((s, o)[at])
+        found = seeds.select({FROM: (seeds.val(name), True)}).distinct()
+        ends[at] = Seeds(Rel(written(found.df), found.vars), nodes)
+    rel = _Paths(data, graph, distinct_alternatives).pairs(path, *ends)
     cols, conds = {}, []
     for end, x in ((FROM, s), (TO, o)):
         value = rel.val(end)
@@ -40,6 +52,26 @@ def scan(data: Dataset, graph: Graph, s, path, o, distinct_alternatives: bool =
     return Rel(df, rel.vars).select(cols)
 
 
+@dataclass
+class Seeds:
+    """Distinct values of a path's end, as FROM; `nodes`: all of them are nodes of the graph."""
+
+    rel: Rel
+    nodes: bool
+
+    def of(self, rel: Rel) -> Rel:
+        """Rows of `rel` that start at a seed."""
+        at = self.rel.df.select(F.col(f"`{column_name(FROM)}`").alias("seed"))
+        info = self.rel.vars[FROM]
+        return Rel(rel.df.join(at, V.same_term(rel.val(FROM), V.Val(info.kind, F.col("seed"), info.prefix)), "left_semi"), rel.vars)
+
+
+def _has_closure(path) -> bool:
+    if path[0] in ("star", "plus", "opt"):
+        return True
+    return path[0] in ("inv", "seq", "alt") and any(_has_closure(p) for p in (path[1] if isinstance(path[1], list) else [path[1]]))
+
+
 def _rename(rel: Rel, names: dict[str, str]) -> Rel:
     return rel.select({names.get(v, v): (rel.val(v), rel.vars[v].certain) for v in rel.vars})
 
@@ -68,11 +100,12 @@ class _Paths:
             return out.distinct() if self.distinct_alternatives else out
         if kind == "neg":
             return self._negated(path[1], path[2])
-        step = self.pairs(path[1], *((s, o) if kind == "opt" else (None, None))).distinct()
-        if kind != "opt":
-            step = self._closure(step, s, o)
+        if kind == "opt":
+            step = self.pairs(path[1], s, o)
+        else:
+            step = self._closure(self.pairs(path[1]), s, o, _has_closure(path[1]))
         if kind == "plus":
-            return step
+            return step  # pairs are distinct already
         return union([step, self._identity(s, o)]).distinct()
 
     def _negated(self, direct, inverse) -> Rel:
@@ -89,8 +122,12 @@ class _Paths:
 
     def _identity(self, s, o) -> Rel:
         """Zero steps: every node of the graph, and a constant end even if it is not in the graph."""
-        constant = s if s is not None else o
+        anchor = s if s is not None else o
+        seeds = anchor if isinstance(anchor, Seeds) else None
+        constant = anchor if seeds is None else None
         spark = self.data.catalog.spark
+        if seeds is not None and seeds.nodes and self.graph.var is None:
+            return seeds.rel.extend(TO, seeds.rel.val(FROM), True)
         if constant is not None and self.graph.var is None:
             value = V.constant(constant)
             return Rel(spark.range(1), {}).select({FROM: (value, True), TO: (value, True)})
@@ -100,10 +137,12 @@ class _Paths:
         nodes = union(ends).distinct()
         if constant is not None:
             nodes = nodes.where(F.coalesce(V.same_term(nodes.val(FROM), V.constant(constant)), F.lit(False)))
+        if seeds is not None:
+            nodes = seeds.of(nodes)
         return nodes.extend(TO, nodes.val(FROM), True)
 
-    def _closure(self, step: Rel, s, o) -> Rel:
-        """One or more steps. A constant end restricts the first frontier; otherwise all pairs grow."""
+    def _closure(self, step: Rel, s, o, costly: bool) -> Rel:
+        """One or more steps, each pair once. A bound end restricts the first frontier; otherwise all pairs grow. A costly step is written once."""
         if step.vars[FROM] != step.vars[TO]:  # ends must be comparable
             kind, prefix = V.common([step.val(FROM), step.val(TO)])
             cols = {v: (V.Val(kind, V.lift(step.val(v), kind), prefix) if v in (FROM, TO) else step.val(v), True) for v in step.vars}
@@ -112,27 +151,32 @@ class _Paths:
         if back:
             step = _rename(step, {FROM: TO, TO: FROM})
         anchor = o if back else s
-        edges = Rel(written(step.df), step.vars)
+        edges = Rel(written(step.df.distinct()), step.vars) if costly else step
         start = edges
-        if anchor is not None:
+        if isinstance(anchor, Seeds):
+            start = anchor.of(edges)
+        elif anchor is not None:
             start = edges.where(F.coalesce(V.same_term(edges.val(FROM), V.constant(anchor)), F.lit(False)))
-        reached = Rel(written(start.df.distinct()), edges.vars)
-        frontier = reached
+        names = [column_name(v) for v in edges.vars]
+        found = [written(start.df.distinct())]
         for _ in range(MAX_ROUNDS):
+            frontier = Rel(found[-1], edges.vars)
             grown = join(_rename(frontier, {TO: MID}), _rename(edges, {FROM: MID}))
             grown = grown.project([v for v in edges.vars]).distinct()
-            names = [column_name(v) for v in edges.vars]
-            known = reached.df.select(*[F.col(f"`{n}`").alias("k_" + n) for n in names])
+            known = together(found).select(*[F.col(f"`{n}`").alias("k_" + n) for n in names])
             fits = F.lit(True)
             for n in names:
                 fits = fits & (F.col(f"`{n}`") == F.col(f"`k_{n}`"))
             fresh = written(grown.df.join(known, fits, "left_anti"))
             if fresh.isEmpty():
+                drop(fresh)
                 break
-            frontier = Rel(fresh, edges.vars)
-            reached = Rel(written(reached.df.unionByName(fresh)), edges.vars)
+            found.append(fresh)
         else:
             raise RuntimeError(f"a closure did not end in {MAX_ROUNDS} rounds")
+        if costly:
+            drop(edges.df)
+        reached = Rel(together(found), edges.vars)
         return _rename(reached, {FROM: TO, TO: FROM}) if back else reached
 
 

@@ -143,31 +143,77 @@ def join(l: Rel, r: Rel) -> Rel:
     if exact or not residual:
         df = l.df.join(right, _all([*exact, *residual]), "inner") if exact else l.df.crossJoin(right)
         return Rel(df, l.vars).select(merged)
-    # No variable is certain on both sides: three arms instead of one cross product with a disjunction.
-    v = loose[0]
-    a, b = l.val(v), _right(r, v)
-    rest = _all(residual[1:])
-    arms = [
-        l.df.where(a.col.isNotNull()).join(right.where(b.col.isNotNull()), V.same_term(a, b) & rest),
-        l.df.where(a.col.isNull()).crossJoin(right).where(rest),
-        l.df.where(a.col.isNotNull()).crossJoin(right.where(b.col.isNull())).where(rest),
-    ]
+    # No variable is certain on both sides: cases instead of one cross product with a disjunction.
     out = None
-    for arm in arms:
+    for arm in _pairs(l, r, loose, residual, []):
         part = Rel(arm, l.vars).select(merged)
         out = part if out is None else Rel(out.df.unionByName(part.df), out.vars)
     return out
 
 
+def _cases(l: Rel, r: Rel, var: str):
+    """(left with, left without, right with, right without) a value of `var`; None for the rest of a side that always has one."""
+    a, b, right = l.val(var).col, _right(r, var).col, _renamed(r)
+    left = (l.df, None) if l.vars[var].certain else (l.df.where(a.isNotNull()), l.df.where(a.isNull()))
+    return *left, *((right, None) if r.vars[var].certain else (right.where(b.isNotNull()), right.where(b.isNull())))
+
+
+def _without_match(l: Rel, r: Rel, loose: list[str], residual: list[Column], extra: list[Column]) -> DataFrame:
+    """Rows of `l` that no row of `r` fits, where no shared variable is certain on both sides: anti-joins by case instead of one with a disjunction."""
+    with_, without, held, open_ = _cases(l, r, loose[0])
+    rest = _all([*residual[1:], *extra])
+    out = with_.join(held, V.same_term(l.val(loose[0]), _right(r, loose[0])) & rest, "left_anti")
+    if open_ is not None:
+        out = out.join(open_, rest, "left_anti")
+    if without is not None:
+        out = out.unionByName(without.join(_renamed(r), rest, "left_anti"))
+    return out
+
+
+def _with_match(l: Rel, r: Rel, loose: list[str], residual: list[Column], extra: list[Column]) -> DataFrame:
+    """Rows of `l` that some row of `r` fits, each once; by case like ``_without_match``."""
+    with_, without, held, open_ = _cases(l, r, loose[0])
+    rest = _all([*residual[1:], *extra])
+    equal = V.same_term(l.val(loose[0]), _right(r, loose[0])) & rest
+    out = with_.join(held, equal, "left_semi")
+    if open_ is not None:
+        out = out.unionByName(with_.join(held, equal, "left_anti").join(open_, rest, "left_semi"))
+    if without is not None:
+        out = out.unionByName(without.join(_renamed(r), rest, "left_semi"))
+    return out
+
+
+def _pairs(l: Rel, r: Rel, loose: list[str], residual: list[Column], extra: list[Column]) -> list[DataFrame]:
+    """Compatible pairs, by case."""
+    with_, without, held, open_ = _cases(l, r, loose[0])
+    rest = _all([*residual[1:], *extra])
+    arms = [with_.join(held, V.same_term(l.val(loose[0]), _right(r, loose[0])) & rest)]
+    if open_ is not None:
+        arms.append(with_.crossJoin(open_).where(rest))
+    if without is not None:
+        arms.append(without.crossJoin(_renamed(r)).where(rest))
+    return arms
+
+
 def left_join(l: Rel, r: Rel, condition=None) -> Rel:
     """OPTIONAL: `condition(env)` sees the merged row and is part of the join."""
-    exact, residual = _condition(l, r)
+    loose: list[str] = []
+    exact, residual = _condition(l, r, loose)
     merged = _merge(l, r, False)
-    conds = [*exact, *residual]
+    extra = []
     if condition is not None:
-        conds.append(F.coalesce(condition({n: v for n, (v, _) in merged.items()}), F.lit(False)))
-    df = l.df.join(_renamed(r), _all(conds), "left")
-    return Rel(df, l.vars).select(_merge(l, r, True))
+        extra.append(F.coalesce(condition({n: v for n, (v, _) in merged.items()}), F.lit(False)))
+    shown = _merge(l, r, True)
+    if exact or not loose:
+        return Rel(l.df.join(_renamed(r), _all([*exact, *residual, *extra]), "left"), l.vars).select(shown)
+    out = None
+    for arm in _pairs(l, r, loose, residual, extra):
+        part = Rel(arm, l.vars).select(shown)
+        out = part if out is None else Rel(out.df.unionByName(part.df), out.vars)
+    alone = _without_match(l, r, loose, residual, extra)
+    right = _renamed(r)
+    alone = alone.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields])
+    return Rel(out.df.unionByName(Rel(alone, l.vars).select(shown).df), out.vars)
 
 
 def minus(l: Rel, r: Rel) -> Rel:
@@ -176,25 +222,25 @@ def minus(l: Rel, r: Rel) -> Rel:
     if not shared:
         return l
     exact, residual = _condition(l, r)
-    if not exact:
-        if len(shared) == 1:
-            residual = [V.same_term(l.val(shared[0]), _right(r, shared[0]))]
-        else:
-            both = F.lit(False)
-            for v in shared:
-                both = both | (l.val(v).col.isNotNull() & _right(r, v).col.isNotNull())
-            residual.append(both)
-    return Rel(l.df.join(_renamed(r), _all([*exact, *residual]), "left_anti"), l.vars)
+    if exact:
+        return Rel(l.df.join(_renamed(r), _all([*exact, *residual]), "left_anti"), l.vars)
+    out = l.df  # a shared bound variable has equal values: one anti-join on each
+    for v in shared:
+        out = out.join(_renamed(r), V.same_term(l.val(v), _right(r, v)) & _all(residual), "left_anti")
+    return Rel(out, l.vars)
 
 
 def semi_join(l: Rel, r: Rel, extra=None, anti: bool = False) -> Rel:
     """EXISTS and NOT EXISTS; `extra(env)` may read variables of both sides."""
-    exact, residual = _condition(l, r)
-    conds = [*exact, *residual]
+    loose: list[str] = []
+    exact, residual = _condition(l, r, loose)
+    more = []
     if extra is not None:
         env = {n: v for n, (v, _) in _merge(l, r, False).items()}
-        conds.append(F.coalesce(extra(env), F.lit(False)))
-    return Rel(l.df.join(_renamed(r), _all(conds), "left_anti" if anti else "left_semi"), l.vars)
+        more.append(F.coalesce(extra(env), F.lit(False)))
+    if not exact and loose:
+        return Rel((_without_match if anti else _with_match)(l, r, loose, residual, more), l.vars)
+    return Rel(l.df.join(_renamed(r), _all([*exact, *residual, *more]), "left_anti" if anti else "left_semi"), l.vars)
 
 
 def union(rels: list[Rel]) -> Rel:

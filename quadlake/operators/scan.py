@@ -12,7 +12,8 @@ from quadlake.functions import values as V
 from quadlake.functions.expressions import triple_part
 from quadlake.functions.values import Val
 from quadlake.operators.relation import Info, Rel, column_name, join, unit, union
-from quadlake.sources.catalog import Catalog, Key, TableMap, key_text, literal_kind
+from quadlake.plans.joinorder import PatternStats, baseline, best_order
+from quadlake.sources.catalog import Catalog, Key, TableMap, key_equals, key_text, literal_kind
 
 
 @dataclass(frozen=True)
@@ -25,11 +26,12 @@ class Graph:
 
 @dataclass
 class Dataset:
-    """A catalog as FROM and FROM NAMED show it."""
+    """A catalog as FROM and FROM NAMED show it. ``estimator`` orders joins; None keeps the written order."""
 
     catalog: Catalog
     default: list[str] | None = None
     named: list[str] | None = None
+    estimator: object = baseline
     _predicates: set | None = field(default=None, repr=False)
 
     def quads(self, graph: Graph):
@@ -103,9 +105,9 @@ class Binder:
             return
         name = name_of(x)
         if name is None:
-            self.conds.append(F.coalesce(V.same_term(value, V.constant(x)), F.lit(False)))
+            self.conds.append(V.same_term(value, V.constant(x)))  # null counts as false, and a bare comparison reaches the scan
         elif name in self.cols:
-            self.conds.append(F.coalesce(V.same_term(self.cols[name], value), F.lit(False)))
+            self.conds.append(V.same_term(self.cols[name], value))
         else:
             self.cols[name] = value
             self.conds.append(value.col.isNotNull())
@@ -133,18 +135,10 @@ def cell_value(table: TableMap, target: str | Key) -> Val | None:
 
 
 def bind_subject(binder: Binder, table: TableMap, s) -> None:
-    key = table.subject
-    if isinstance(s, R.IRI) and not key.blank and len(key.columns) == 1:
-        # Compare the native key, so that the filter reaches the scan.
-        rest = s.value[len(key.prefix) :] if s.value.startswith(key.prefix) else None
-        dt = table.df.schema[key.columns[0]].dataType
-        col = F.col(f"`{key.columns[0]}`")
-        if rest is not None and isinstance(dt, (T.IntegerType, T.LongType)):
-            binder.conds.append(col == int(rest) if rest.lstrip("-").isdigit() and str(int(rest)) == rest else F.lit(False))
-            return
-        binder.conds.append(col.cast("string") == rest if rest is not None else F.lit(False))
+    if isinstance(s, R.IRI) and not table.subject.blank:
+        binder.conds.append(key_equals(table.df, table.subject, s.value))
         return
-    binder.put(s, cell_value(table, key))
+    binder.put(s, cell_value(table, table.subject))
 
 
 def star(table: TableMap, s, arcs: list[tuple]) -> Rel:
@@ -160,9 +154,8 @@ def star(table: TableMap, s, arcs: list[tuple]) -> Rel:
         if value is None:
             binder.conds.append(F.lit(False))
             continue
-        if isinstance(target, Key) and len(target.columns) == 1 and not target.blank and isinstance(o, R.IRI):
-            rest = o.value[len(target.prefix) :] if o.value.startswith(target.prefix) else None
-            binder.conds.append(value.col.cast("string") == rest if rest is not None else F.lit(False))
+        if isinstance(target, Key) and not target.blank and isinstance(o, R.IRI):
+            binder.conds.append(key_equals(table.df, target, o.value))
             continue
         binder.put(o, value)
     return binder.rel(table.df)
@@ -194,7 +187,9 @@ def pattern(data: Dataset, graph: Graph, s, p, o) -> Rel:
                 rels.append(_in_graph(star(table, s, [(p.value, o)]), table, graph))
             continue
         binder = Binder()
-        df = data.catalog.triples_of(table)
+        if isinstance(s, R.IRI) and (table.subject.blank or not s.value.startswith(table.subject.prefix)):
+            continue
+        df = data.catalog.triples_of(table, key_equals(table.df, table.subject, s.value) if isinstance(s, R.IRI) else None)
         binder.put(s, Val("term", F.col("s")))
         binder.put(p, Val("iri", F.col("p")))
         binder.put(o, Val("term", F.col("o")))
@@ -228,41 +223,98 @@ def nothing(data: Dataset, names: list[str]) -> Rel:
     return Rel(base.select(*cols), {n: Info("term") for n in names})
 
 
-def basic(data: Dataset, graph: Graph, triples: list[tuple], path_scan) -> Rel:
-    """A basic graph pattern: stars collapse to scans, then connected parts join first.
-
-    ``path_scan(s, path, o)`` evaluates a property path.
+def stats_of(data: Dataset, part: Rel, s, arcs: list[tuple], table: TableMap | None) -> PatternStats:
+    """Estimates for a scan: from the catalog's hook, from the table's size, or from what is constant."""
+    name = repr((s, sorted(map(repr, arcs))))
+    hook = data.catalog.statistics
+    given = hook(s, arcs, table) if hook is not None else None
+    if given is not None:
+        return PatternStats(name, given.rows, {v: given.distinct.get(v, given.rows) for v in part.vars})
+    total = table.rows() if table is not None else data.catalog.triples(arcs[0][0])
+    rows, distinct = total, {}
+    if ground(s):
+        rows = min(rows, len(arcs))
+    elif name_of(s):
+        distinct[name_of(s)] = total
+    for p, o in arcs:
+        target = table.columns.get(p) if table is not None and isinstance(p, str) else None
+        values = max(1.0, total**0.5)
+        if isinstance(target, Key):  # a reference has at most as many values as the table it leads to
+            values = min(total, *(m.rows() for m in data.catalog.maps if m.subject.prefix == target.prefix), total)
+        if ground(o):
+            rows /= values
+        elif name_of(o):
+            distinct.setdefault(name_of(o), values)
+    rows = max(rows, 1.0)
+    return PatternStats(name, rows, {v: min(distinct.get(v, rows), rows) for v in part.vars})
+
+
+def basic(data: Dataset, graph: Graph, triples: list[tuple], path_scan, context: Rel | None = None) -> Rel:
+    """A basic graph pattern: stars collapse to scans, joins go by estimated size, paths come last.
+
+    ``path_scan(s, path, o, seeds)`` evaluates a property path; `seeds` has solutions that hold its bound ends. `context` are
+    solutions that the pattern will be joined with: they seed paths too.
     """
     if not triples:
         return unit(data.catalog.spark)
-    parts: list[Rel] = []
-    later: list[Rel] = []
+    parts: list[tuple[Rel, PatternStats]] = []
+    later: list[tuple] = []
     stars: dict = {}
     tables = data.tables(graph)
     stored = data.stored_predicates() if tables and data.catalog.quads is not None else None
+
+    def one(s, p, o) -> None:
+        rel = pattern(data, graph, s, p, o)
+        fits = [m for m in tables if isinstance(p, R.IRI) and has(m, p.value)]
+        parts.append((rel, stats_of(data, rel, s, [(p.value if isinstance(p, R.IRI) else None, o)], fits[0] if len(fits) == 1 and data.catalog.quads is None else None)))
+
     for s, p, o in triples:
         if isinstance(p, tuple):
-            later.append(path_scan(s, p, o))
+            later.append((s, p, o))
             continue
         mine = [m for m in tables if isinstance(p, R.IRI) and has(m, p.value)]
         alone = data.catalog.quads is None or (stored is not None and isinstance(p, R.IRI) and p.value not in stored)
         if isinstance(p, R.IRI) and mine and alone:
             stars.setdefault(s, []).append((p.value, o, mine))
         else:
-            parts.append(pattern(data, graph, s, p, o))
+            one(s, p, o)
     for s, arcs in stars.items():
         fits = [m for m in tables if all(any(m is x for x in mine) for _, _, mine in arcs)]
         # Subjects of mapped tables have prefixes of their own, so one predicate that only one table has settles the table.
         if len(fits) == 1 and any(len(mine) == 1 for _, _, mine in arcs):
-            parts.append(_in_graph(star(fits[0], s, [(p, o) for p, o, _ in arcs]), fits[0], graph))
+            rel = _in_graph(star(fits[0], s, [(p, o) for p, o, _ in arcs]), fits[0], graph)
+            parts.append((rel, stats_of(data, rel, s, [(p, o) for p, o, _ in arcs], fits[0])))
         else:
-            parts += [pattern(data, graph, s, R.IRI(p), o) for p, o, _ in arcs]
-    return ordered(data, parts, later)
-
-
-def ordered(data: Dataset, parts: list[Rel], later: list[Rel]) -> Rel:
-    """Join in written order, but connected parts before others, paths last."""
-    rest = [*parts, *later]
+            for p, o, _ in arcs:
+                one(s, R.IRI(p), o)
+    out = ordered(data, parts) if parts else None
+    while later:
+        # A path with an end that is bound already starts there; of several the first written comes first.
+        known = {v for r in (out, context) if r is not None for v, i in r.vars.items() if i.certain}
+        at = next((k for k, (s, _, o) in enumerate(later) if {name_of(s), name_of(o)} & known), 0)
+        s, p, o = later.pop(at)
+        ends = [n for n in (name_of(s), name_of(o)) if n is not None]
+        seeds = next((r for r in (out, context) if r is not None and any(n in r.vars and r.vars[n].certain for n in ends)), None)
+        found = path_scan(s, p, o, seeds)
+        out = found if out is None else join(out, found)
+    return out.project(written_vars(triples, out))
+
+
+def written_vars(triples: list[tuple], rel: Rel) -> list[str]:
+    """Variables in the order they were written in, whatever the order of the joins."""
+    names = [n for t in triples for x in t if not isinstance(x, tuple) for n in _names(x)]
+    return list(dict.fromkeys([*(n for n in names if n in rel.vars), *rel.vars]))
+
+
+def ordered(data: Dataset, parts: list[tuple[Rel, PatternStats]]) -> Rel:
+    """Join by estimated size; without an estimator in written order, but connected parts before others."""
+    if data.estimator is not None:
+        rels = [parts[i][0] for i in best_order([s for _, s in parts], data.estimator)]
+        out = rels.pop(0)
+        for r in rels:
+            out = join(out, r)
+        return out
+    rest = [r for r, _ in parts]
     out = rest.pop(0)
     while rest:
         at = next((i for i, r in enumerate(rest) if set(r.vars) & set(out.vars)), 0)

@@ -33,21 +33,24 @@ class Compiler:
     def group(self, g: A.Group, graph: Graph, start: Rel | None = None, filters: bool = True) -> Rel:
         """A group's parts in order, its filters at the end. `start` seeds variables of an outer query."""
         rel = start or unit(self.spark)
-        late: list[tuple] = []
+        late = [part.expr for part in g.parts if isinstance(part, A.Filter)]
         for part in g.parts:
-            if isinstance(part, A.Filter):
-                late.append(part.expr)
-            else:
-                rel = self.part(rel, part, graph)
+            if not isinstance(part, A.Filter):
+                rel = self.part(rel, part, graph, late if filters else [])
         if filters:
             for e in late:
                 rel = self.filter(rel, e, graph)
         return rel
 
-    def part(self, rel: Rel, part, graph: Graph) -> Rel:
+    def part(self, rel: Rel, part, graph: Graph, late: list[tuple] = ()) -> Rel:
         if isinstance(part, A.Triples):
-            found = basic(self.data, graph, part.triples, lambda s, p, o: paths.scan(self.data, graph, s, p, o, self.distinct_alternatives))
-            return join(rel, found)
+            context = rel if rel.vars else None
+
+            def path(s, p, o, seeds):
+                inside = seeds is not None and seeds is not context
+                return paths.scan(self.data, graph, s, p, o, self.distinct_alternatives, self.narrowed(seeds, late), inside)
+
+            return join(rel, basic(self.data, graph, part.triples, path, context))
         if isinstance(part, A.Group):
             return join(rel, self.group(part, graph))
         if isinstance(part, A.Optional_):
@@ -68,6 +71,13 @@ class Compiler:
             return self.bind(rel, part.var, part.expr, graph)
         raise ValueError(f"unknown pattern {type(part).__name__}")
 
+    def narrowed(self, rel: Rel | None, late: list[tuple]) -> Rel | None:
+        """`rel` under those of a group's filters that read only what it binds for certain: fewer seeds, the same result."""
+        for e in late if rel is not None else []:
+            if not _exists_in(e) and not _needs_row(e) and all(v in rel.vars and rel.vars[v].certain for v in expr_vars(e)):
+                rel = rel.where(Expressions(rel.env(), self.context).truth(e))
+        return rel
+
     def optional(self, rel: Rel, g: A.Group, graph: Graph) -> Rel:
         """LeftJoin: the filters at the top of the optional group belong to the join and see both sides."""
         plain = [p.expr for p in g.parts if isinstance(p, A.Filter) and not _exists_in(p.expr)]
@@ -283,7 +293,9 @@ def _count(v: Val, distinct: bool, _):
 def _sum(v: Val, distinct: bool, _):
     total = F.sum_distinct if distinct else F.sum
     if v.kind == "int":
-        return Val("int", F.coalesce(total(v.col.cast("bigint")), F.lit(0).cast("bigint")))
+        # Summed without overflow; a sum that a 64-bit integer cannot hold is unbound, as in arithmetic.
+        whole = F.coalesce(total(v.col.cast("decimal(28,0)")), F.lit(0).cast("decimal(38,0)"))
+        return Val("int", whole.try_cast("bigint"))
     if v.kind == "dbl":
         return Val("dbl", F.coalesce(total(v.col), F.lit(0.0)))
     if v.kind == "dec":

@@ -68,12 +68,12 @@ def read_documents(spark: SparkSession, path: str, base: str | None = None) -> D
     return files.mapInArrow(run, QUADS).dropDuplicates()
 
 
-def write_lines(quads: DataFrame, path: str, named: bool = True) -> None:
+def write_lines(quads: DataFrame, path: str, named: bool = True, mode: str = "error") -> None:
     """N-Quads, or N-Triples with ``named`` off: then a named graph is an error."""
     line = F.concat_ws(" ", R.nt_column(F.col("s")), F.concat(F.lit("<"), F.col("p"), F.lit(">")), R.nt_column(F.col("o")), F.when(F.col("g").startswith("_:"), F.col("g")).otherwise(F.concat(F.lit("<"), F.col("g"), F.lit(">"))), F.lit("."))
     if not named and not quads.where(F.col("g").isNotNull()).isEmpty():
         raise ValueError("N-Triples has no named graphs")
-    quads.select(line.alias("value")).write.text(path)
+    quads.select(line.alias("value")).write.mode(mode).text(path)
 
 
 def collect(quads: DataFrame) -> list[tuple]:

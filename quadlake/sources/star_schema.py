@@ -28,15 +28,15 @@ LAYOUT = {
 
 
 #: Tables already opened, by session and path: opening one reads file footers.
-_OPEN: dict[tuple[int, str], DataFrame] = {}
+_OPEN: dict[tuple[int, str, bool], DataFrame] = {}
 
 
-def open_table(spark: SparkSession, path: str) -> DataFrame:
-    """The table at a path. A session opens a path once; tables that change need a new session or ``forget``."""
-    key = (id(spark), path)
+def open_table(spark: SparkSession, path: str, keyed: bool = False) -> DataFrame:
+    """The table at a path, `keyed` with a column that tells rows apart. A session opens a path once; tables that change need a new session or ``forget``."""
+    key = (id(spark), path, keyed)
     held = _OPEN.get(key)
     if held is None or held.sparkSession is not spark:
-        held = _OPEN[key] = spark.read.parquet(path)
+        held = _OPEN[key] = row_key(open_table(spark, path)) if keyed else spark.read.parquet(path)
     return held
 
 
@@ -57,7 +57,7 @@ def star_schema(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] | None
         df = open_table(spark, f"{sf_dir}/{name}.parquet")
         plain = df.columns
         if key is None:
-            df, key_ = row_key(df), Key(f"{name}_", ("_row",), blank=True)
+            df, key_ = open_table(spark, f"{sf_dir}/{name}.parquet", keyed=True), Key(f"{name}_", ("_row",), blank=True)
         else:
             key_ = Key(subject(name), key)
         columns: dict = {NS + (c if "_" in c and not c.endswith("_id") else f"{name}_{c}"): c for c in plain}

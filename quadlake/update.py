@@ -34,10 +34,12 @@ def _operation(engine, catalog: Catalog, op) -> Catalog:
     if kind == "INSERT DATA":
         return catalog.add(_data(catalog, op.insert, fresh=True))
     if kind == "DELETE DATA":
+        _refuse_mapped(catalog, op.delete)
         return catalog.remove(_data(catalog, op.delete, fresh=False))
     if kind == "MODIFY":
         return _modify(engine, catalog, op)
     if kind in ("CLEAR", "DROP"):
+        _refuse_graph(catalog, op.target)
         return catalog.with_quads(_stored(catalog).where(~_selected(op.target)))
     if kind == "CREATE":
         return catalog
@@ -81,9 +83,35 @@ def _selected(target):
     return F.coalesce(g == target.value, F.lit(False))
 
 
+def _mapped_graphs(catalog: Catalog, target) -> list:
+    """Mapped tables in the graphs of a target."""
+    inside = {"DEFAULT": lambda g: g is None, "NAMED": lambda g: g is not None, "ALL": lambda g: True}.get(target if isinstance(target, str) else "", lambda g: not isinstance(target, str) and g == target.value)
+    return [m for m in catalog.maps if inside(m.graph)]
+
+
+def _refuse_graph(catalog: Catalog, target) -> None:
+    """Mapped tables are read-only: an update that would have to remove their triples is an error."""
+    held = _mapped_graphs(catalog, target)
+    if held:
+        raise ValueError(f"the graph holds the mapped table {held[0].name}, which is read-only")
+
+
+def _refuse_mapped(catalog: Catalog, quads: list) -> None:
+    """The same for single triples: a predicate that a mapped table of the graph has, or any predicate."""
+    for g, (_, p, _) in quads:
+        for m in catalog.maps:
+            same = m.graph is None if g is None else not isinstance(g, R.IRI) or m.graph == g.value
+            if same and (not isinstance(p, R.IRI) or p.value in m.columns or (p.value == R.RDF_TYPE and m.class_iri)):
+                raise ValueError(f"triples of the mapped table {m.name} cannot be deleted: it is read-only")
+
+
 def _transfer(catalog: Catalog, op) -> Catalog:
     if op.source == op.target:
         return catalog
+    if op.kind != "ADD":
+        _refuse_graph(catalog, op.target)
+    if op.kind == "MOVE":
+        _refuse_graph(catalog, op.source)
     quads = _stored(catalog)
     name = F.lit(None if op.target == "DEFAULT" else op.target.value).cast("string")
     moved = quads.where(_selected(op.source)).withColumn("g", name)
@@ -108,6 +136,7 @@ def _modify(engine, catalog: Catalog, op) -> Catalog:
     rel.df = written(rel.df)
     default = R.IRI(op.with_) if op.with_ else None
     if op.delete:
+        _refuse_mapped(catalog, [(g or default, t) for g, t in op.delete])
         gone = instantiate(rel, [(g or default, t) for g, t in op.delete]).distinct()
         catalog = catalog.remove(gone)
     if op.insert:
@@ -115,29 +144,77 @@ def _modify(engine, catalog: Catalog, op) -> Catalog:
     return catalog
 
 
-def commit(catalog: Catalog, path: str) -> str:
-    """Write the stored quads as a new snapshot under `path`, partitioned by predicate, and point CURRENT at it."""
+class Conflict(RuntimeError):
+    """Another writer has committed in the meantime."""
+
+
+def _versions(spark, path: str) -> list[str]:
+    """Names of the committed versions, oldest first."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.getPath().getName().isdigit()) if fs.exists(at) else []
+
+
+def commit(catalog: Catalog, path: str, expected: int | None = None) -> int:
+    """Write the stored quads as a new snapshot under `path`, partitioned by predicate, and add a version that names it.
+
+    The version appears by one rename to a name that must be free: readers and crashes find the old version or the new
+    one. With `expected`, it must follow that version, else Conflict is raised.
+    """
     spark = catalog.spark
     name = f"snapshot-{uuid.uuid4().hex}"
     _stored(catalog).withColumn("predicate", F.col("p")).write.partitionBy("predicate").parquet(f"{path}/{name}")
+    held = _versions(spark, path)
+    version = (int(held[-1]) if held else 0) + 1
+    if expected is not None and version != expected + 1:
+        raise Conflict(f"version {version - 1} has followed version {expected} of {path}")
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
-    fs = at.getFileSystem(conf)
-    fresh = jvm.org.apache.hadoop.fs.Path(f"{path}/.CURRENT-{uuid.uuid4().hex}")
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/versions/{version:012d}")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fresh = jvm.org.apache.hadoop.fs.Path(f"{path}/versions/.{uuid.uuid4().hex}")
     out = fs.create(fresh, True)
     out.write(bytearray(name.encode()))
     out.close()
-    fs.delete(at, False)
-    fs.rename(fresh, at)
-    return name
-
-
-def snapshot(spark, path: str) -> Catalog:
-    """The catalog that was committed last; patterns with a constant predicate read its partition only."""
-    name = spark.read.text(f"{path}/CURRENT").first()[0]
+    if fs.exists(at) or not fs.rename(fresh, at):
+        fs.delete(fresh, False)
+        raise Conflict(f"version {version} of {path} has been committed by another writer")
+    return version
+
+
+def snapshot(spark, path: str, version: int | None = None) -> Catalog:
+    """The catalog that was committed last, or an earlier one; patterns with a constant predicate read its partition only."""
+    held = _versions(spark, path)
+    if not held:
+        raise FileNotFoundError(f"nothing has been committed to {path}")
+    name = spark.read.text(f"{path}/versions/{held[-1] if version is None else f'{version:012d}'}").first()[0]
     df = spark.read.parquet(f"{path}/{name}")
     return Catalog(spark, df.drop("p").withColumnRenamed("predicate", "p").select("s", "p", "o", "g"))
 
 
-__all__ = ["apply", "commit", "local", "snapshot"]
+class Transaction:
+    """Updates that are committed together, or not at all: ``with Transaction(spark, path) as t: t.update(...)``.
+
+    An exception rolls back. A commit that another writer has overtaken raises Conflict and changes nothing.
+    """
+
+    def __init__(self, spark, path: str, **options):
+        self.spark, self.path, self.options = spark, path, options
+        self.engine, self.version = None, 0
+
+    def __enter__(self) -> Transaction:
+        from quadlake.engine import Engine
+
+        held = _versions(self.spark, self.path)
+        self.version = int(held[-1]) if held else 0
+        self.engine = Engine(snapshot(self.spark, self.path) if held else Catalog(self.spark), **self.options)
+        return self
+
+    def update(self, text: str) -> None:
+        self.engine = self.engine.update(text)
+
+    def __exit__(self, kind, error, trace) -> None:
+        if kind is None:
+            self.version = commit(self.engine.catalog, self.path, self.version)
+
+
+__all__ = ["Conflict", "Transaction", "apply", "commit", "local", "snapshot"]

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from quadlake import queries
+from quadlake import queries, term_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -35,6 +35,15 @@ def test_query_matches_sql(spark, duck, name):
     assert sorted((tuple(map(plain, r)) for r in df.collect()), key=repr) == sorted((tuple(map(plain, r)) for r in expected.fetchall()), key=repr)
 
 
+@pytest.mark.parametrize("name", sorted(term_queries.QUERIES))
+def test_term_query_matches_rows(spark, duck, name):
+    df = term_queries.QUERIES[name](spark, SF)
+    expected = duck.execute(term_queries.ORACLE_SQL[name])
+    want = sorted((tuple(map(plain, r)) for r in expected.fetchall()), key=repr)
+    assert df.columns == [d[0] for d in expected.description] and want
+    assert sorted((tuple(map(plain, r)) for r in df.collect()), key=repr) == want
+
+
 def test_entry_and_registry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(queries.ORACLE_SQL) <= set(__spark_entry__.queries())

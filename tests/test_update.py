@@ -1,8 +1,10 @@
+import pytest
+
 from quadlake.engine import Engine
 from quadlake.parser.turtle import parse_turtle
 from quadlake.sources import rdf
 from quadlake.sources.catalog import Catalog
-from quadlake.update import commit, snapshot
+from quadlake.update import Conflict, Transaction, commit, snapshot
 
 P = "PREFIX : <urn:x:> "
 
@@ -49,6 +51,20 @@ def test_load_text_and_snapshots(spark, tmp_path):
     assert again.catalog.count() == 5 and again.ask(P + "ASK { :a :p 1 }")
 
 
+def test_concurrent_commits(spark, tmp_path):
+    """Of two transactions that start from one version, the second to end fails and changes nothing."""
+    path = str(tmp_path / "store")
+    assert commit(engine(spark).catalog, path) == 1
+    first = Transaction(spark, path).__enter__()
+    with pytest.raises(Conflict), Transaction(spark, path) as second:
+        second.update(P + "INSERT DATA { :t :p 2 }")
+        first.update(P + "INSERT DATA { :t :p 1 }")
+        first.__exit__(None, None, None)
+    with pytest.raises(Conflict):
+        commit(engine(spark).catalog, path, expected=1)
+    assert not Engine(snapshot(spark, path)).ask(P + "ASK { :t :p 2 }") and snapshot(spark, path, 1).count() == 3
+
+
 def test_store_interface(spark):
     c = engine(spark).catalog
     from quadlake.terms import IRI
