@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadlake.llm._common import Scratch, arrow_rows
-from quadlake.llm.simhash import SEED, components_of, joined_up, majority, shingle_hashes
+from quadlake.llm.components import connected_components
+from quadlake.llm.simhash import SEED, cross_links, grouped, hub_links, joined_up, majority, shingle_hashes
 
 #: One text in SAMPLE is counted to find common hashes: those in at least COMMON of them, at most 2^17. Any choice gives the same links.
 SAMPLE, COMMON, MOST_COMMON = 16, 6, 1 << 17
@@ -142,10 +143,12 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     def verify(pairs: DataFrame) -> DataFrame:
         return _similar(scratch, narrow, shingle, bound, sets, pairs)
 
-    near = components_of(scratch, reps.select("node", "fp"), radius, parts, verify).drop("fp")
-    first = sets.select(F.col("row").alias("node"), "n", "prefix").join(near, "node")
-    pairs = _may_be_similar(scratch, bound, sets, _prefix_pairs(scratch, first, bound))
-    nodes = w(joined_up(scratch, near, verify(pairs)))
+    fps = reps.select("node", "fp")
+    placed = w(grouped(fps, connected_components(scratch, verify(w(hub_links(fps, radius, parts)))), "node"))
+    near = cross_links(scratch, placed, radius, parts)
+    shared = _prefix_pairs(scratch, sets.select(F.col("row").alias("node"), "n", "prefix").join(placed.drop("fp"), "node"), bound)
+    pairs = w(near.unionByName(_may_be_similar(scratch, bound, sets, shared)).distinct())
+    nodes = w(joined_up(scratch, placed.drop("fp"), verify(pairs)))
     found = w(reps.join(nodes, "node").select("digest", "n", "least_id", "comp"))
     least_ids = found.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     classes = w(found.join(least_ids, "comp").select("digest", "n", "component_id"))

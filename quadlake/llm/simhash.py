@@ -23,7 +23,6 @@ must be integers (others are refused); extra columns are ignored; an empty table
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -144,14 +143,12 @@ def _probes(masks, value, part: int):
     return F.transform(masks, lambda mask: F.struct(F.lit(part).alias("part"), value.bitwiseXOR(mask).alias("value")))
 
 
-def components_of(scratch: Scratch, nodes: DataFrame, radius: int, parts: int, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(node, fp, comp) of `nodes` (node, fp): the least node reachable over links within `radius` that ``verify`` keeps."""
+def components_of(scratch: Scratch, nodes: DataFrame, radius: int, parts: int) -> DataFrame:
+    """(node, fp, comp) of `nodes` (node, fp): the least node reachable over links within `radius`."""
     w = scratch.write
-    check = verify or (lambda pairs: pairs)
-    first = connected_components(scratch, check(w(hub_links(nodes, radius, parts))))
+    first = connected_components(scratch, w(hub_links(nodes, radius, parts)))
     placed = w(grouped(nodes, first, "node"))
-    pairs = check(w(cross_links(scratch, placed, radius, parts)))
-    return w(joined_up(scratch, placed, pairs))
+    return w(joined_up(scratch, placed, w(cross_links(scratch, placed, radius, parts))))
 
 
 def grouped(nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
