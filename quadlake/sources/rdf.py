@@ -1,8 +1,9 @@
 """RDF text in and out.
 
 N-Triples and N-Quads are read line by line in parallel; Turtle and TriG documents are read whole, one
-task a file, each with its own scope of blank nodes. N-Quads and N-Triples are written in parallel;
-Turtle and TriG are for graphs that fit in the driver.
+task a file, each with its own scope of blank nodes. Documents behind http(s) are copied to the shared folder first.
+N-Quads, N-Triples and, with ``write_turtle_parts``, Turtle and TriG are written in parallel; ``write_turtle`` makes one
+text of a graph that fits in the driver.
 """
 
 from __future__ import annotations
@@ -14,13 +15,42 @@ from pyspark.sql import functions as F
 
 from quadlake import terms as R
 from quadlake.parser.turtle import parse_turtle
+from quadlake.scratch import shared_folder
 from quadlake.sources.catalog import QUADS
 
 LINES = (".nt", ".nq", ".ntriples", ".nquads")
 
 
+#: Media types of line-based formats.
+LINE_TYPES = ("application/n-triples", "application/n-quads", "text/plain")
+CHUNK = 1 << 20
+#: Triples spelled at once in a part.
+PART_ROWS = 50_000
+
+
+def fetch(spark: SparkSession, url: str, timeout: float = 60.0) -> str:
+    """Copy a document to the shared folder, a chunk at a time; the copy's suffix tells its format."""
+    from urllib.request import Request, urlopen
+
+    with urlopen(Request(url, headers={"Accept": "application/n-quads, application/n-triples, text/turtle, application/trig;q=0.9, */*;q=0.1"}), timeout=timeout) as reply:
+        kind = reply.headers.get_content_type()
+        plain = url.split("#")[0].split("?")[0].lower()
+        lines = plain.endswith(LINES) or (kind in LINE_TYPES and not plain.endswith((".ttl", ".trig")))
+        path = f"{shared_folder(spark)}/loads/{uuid.uuid4().hex}{'.nq' if lines else '.trig'}"
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, False)
+        try:
+            while chunk := reply.read(CHUNK):
+                out.write(bytearray(chunk))
+        finally:
+            out.close()
+    return path
+
+
 def load(spark: SparkSession, path: str, base: str | None = None) -> DataFrame:
-    """Quads of a file or folder, by its suffix: .nt and .nq by lines, anything else as Turtle or TriG."""
+    """Quads of a file, folder or URL, by its suffix (a URL's also by its media type): .nt and .nq by lines, anything else as Turtle or TriG."""
+    if path.lower().startswith(("http://", "https://")):
+        return load(spark, fetch(spark, path), path if base is None else base)
     if path.lower().removesuffix(".gz").endswith(LINES):
         return read_lines(spark, path)
     return read_documents(spark, path, base)
@@ -118,3 +148,29 @@ def write_turtle(quads: list[tuple], prefixes: dict[str, str] | None = None) ->
         if g is not None:
             out.append("}")
     return "\n".join(out) + "\n"
+
+
+def write_turtle_parts(quads: DataFrame, path: str, prefixes: dict[str, str] | None = None) -> None:
+    """Turtle or TriG in parallel: every part is a whole document with all triples of its graphs' subjects."""
+    dealt = quads.repartition("g", "s").sortWithinPartitions("g", "s", "p", "o")
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: list[tuple] = []
+
+        def out():
+            text = write_turtle(held, prefixes)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([text])], ["value"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                g = None if r["g"] is None else R.BNode(r["g"][2:]) if r["g"].startswith("_:") else R.IRI(r["g"])
+                if len(held) >= PART_ROWS and (held[-1][3], held[-1][0]) != (g, R.from_parts(*r["s"].values())):
+                    yield out()
+                held.append((R.from_parts(*r["s"].values()), R.IRI(r["p"]), R.from_parts(*r["o"].values()), g))
+        if held:
+            yield out()
+
+    dealt.mapInArrow(run, "value string").write.text(path)

@@ -51,6 +51,55 @@ def test_load_text_and_snapshots(spark, tmp_path):
     assert again.catalog.count() == 5 and again.ask(P + "ASK { :a :p 1 }")
 
 
+def test_load_over_http(spark, tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    pages = {"/a.ttl": ("text/turtle", "<s> <p> <#o> , [] ."), "/lines": ("application/n-quads", "<urn:x:a> <urn:x:p> \"1\" <urn:x:g> .\n# note\n")}
+
+    class Pages(BaseHTTPRequestHandler):
+        def do_GET(self):
+            kind, body = pages.get(self.path, (None, ""))
+            self.send_response(200 if kind else 404)
+            if kind:
+                self.send_header("Content-Type", kind)
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    host = f"http://127.0.0.1:{server.server_port}"
+    try:
+        e = Engine(Catalog(spark)).update(f"LOAD <{host}/a.ttl> INTO GRAPH <urn:x:l> ; LOAD <{host}/lines> ; LOAD SILENT <{host}/none>")
+        assert e.ask(f"ASK {{ GRAPH <urn:x:l> {{ <{host}/s> <{host}/p> <{host}/a.ttl#o> }} }}") and e.ask(P + "ASK { GRAPH :g { :a :p '1' } }") and e.catalog.count() == 3
+        with pytest.raises(Exception, match="404"):
+            Engine(Catalog(spark)).update(f"LOAD <{host}/none>")
+    finally:
+        server.shutdown()
+
+
+def test_sinks_in_parallel(spark, tmp_path):
+    """Every part of a sink is a document of its own; together they hold the whole."""
+    from xml.etree import ElementTree
+
+    from quadlake.sources import results
+
+    text = "@prefix : <urn:x:> . " + " ".join(f':s{i} :p {i} , "a\\nb"@en ; :q <<( :s{i} :p :o )>> .' for i in range(40)) + " :g { :a :b [] }"
+    e = Engine(Catalog.of(spark, parse_turtle(text)))
+    found = e.select(P + "SELECT ?s ?o ?none { ?s :p ?o }", "term").repartition(3)
+    results.write_json(found, str(tmp_path / "json"))
+    results.write_xml(found, str(tmp_path / "xml"))
+    rows = [r for f in (tmp_path / "json").glob("part-*") for r in results.from_json(f.read_text())[1]]
+    assert sorted(map(repr, rows)) == sorted(map(repr, results.solutions(found))) and len(rows) == 80
+    assert sum(len(list(ElementTree.fromstring(f.read_text()).iter("{http://www.w3.org/2005/sparql-results#}result"))) for f in (tmp_path / "xml").glob("part-*")) == 80
+    rdf.write_turtle_parts(e.catalog.quads, str(tmp_path / "ttl"), {"": "urn:x:"})
+    parts = [q for f in (tmp_path / "ttl").glob("part-*") for q in parse_turtle(f.read_text())]
+    assert len(parts) == e.catalog.count() == 121
+
+
 def test_concurrent_commits(spark, tmp_path):
     """Of two transactions that start from one version, the second to end fails and changes nothing."""
     path = str(tmp_path / "store")
