@@ -10,7 +10,8 @@ left join, which the adaptive planner splits.
 Everything is DataFrame expressions.
 
 Edge cases: a null URL or one without ``://`` has empty host and path, and its canonical form is
-empty, which is never listed: such a page is allowed. Very long URLs are judged whole. Repeated rows are judged one by one; an empty
+empty, which is never listed: such a page is allowed. Very long URLs are judged whole, in
+time in proportion to their length: the patterns never go back. Repeated rows are judged one by one; an empty
 list allows whatever no rule blocks; an empty table gives an empty result; extra columns pass through
 ``judge`` unless they have the names it adds, which it then replaces.
 """
@@ -32,17 +33,17 @@ MIN_BLOCKS, MAX_BLOCKS = 1 << 10, 1 << 21
 
 
 def host_of(url: Column) -> Column:
-    return ascii_lower(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
+    return ascii_lower(F.coalesce(F.regexp_extract(url, r"(?s)^(?>.*?://)([^/?#]*+)", 1), F.lit("")))
 
 
 def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(url, r"(?s)^(?>.*?://)[^/?#]*+([^?#]*+)", 1), F.lit(""))
 
 
 def canonical(url: Column) -> Column:
     """Scheme, leading www., default ports, closing slashes, utm_ parameters and fragment removed; host lower-cased."""
     host = F.regexp_replace(F.regexp_replace(host_of(url), r"^www\.", ""), r":(80|443)$", "")
-    query = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)", 1), F.lit(""))
+    query = F.coalesce(F.regexp_extract(url, r"(?s)^(?>.*?://)[^?#]*+(\?[^#]*+)", 1), F.lit(""))
     kept = F.regexp_replace(F.regexp_replace(query, r"[?&]utm_[^&]*", ""), r"^&", "?")
     return F.concat(host, F.regexp_replace(path_of(url), r"/+$", ""), kept)
 
