@@ -112,11 +112,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of an Arrow batch that become Python objects at a time: a worker's memory stays at a few texts.
+ROWS = 256
+
+
+def small(batches: Iterable, rows: int = ROWS) -> Iterator:
+    """Arrow batches of at most `rows` rows; slices, not copies."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+
+
 def arrow_rows(batches: Iterable, *columns: str) -> Iterator[tuple]:
     """Rows of Arrow batches as tuples; strings come as UTF-8 bytes, so that no text is decoded twice."""
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in small(batches):
         cols = []
         for name in columns:
             col = batch.column(batch.schema.get_field_index(name))

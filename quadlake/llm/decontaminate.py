@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadlake.llm._common import arrow_rows, integral, table
+from quadlake.llm._common import arrow_rows, integral, small, table
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 22
 BLOCKS, BLOCK_BITS = 8, 8
@@ -227,7 +227,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, thresho
             import pyarrow as pa
 
             index = Index(shared.value, shingle, threshold, radius)
-            for batch in batches:
+            for batch in small(batches):
                 bodies = batch.column(at).cast(pa.large_binary()).to_pylist()
                 yield batch.filter(pa.array([not index.matches(b) for b in bodies], pa.bool_()))
 

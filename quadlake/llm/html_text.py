@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_hexdigest
 
-from quadlake.llm._common import Scratch, arrow_rows, table
+from quadlake.llm._common import Scratch, arrow_rows, small, table
 from quadlake.llm.url_filter import host_of
 
 MIN_PAGES, MIN_SHARE = 5, 0.5
@@ -307,7 +307,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in small(batches):
             texts = []
             for source, digests in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 texts.append(Page(source).text(set(digests or ())) if source else "")

@@ -25,7 +25,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlake.llm._common import Scratch, hadoop_fs, integral, table
+from quadlake.llm._common import Scratch, hadoop_fs, integral, small, table
 from quadlake.llm.windows import TEXT, Words, cut, named, region_table, with_texts
 
 WINDOW, GRAM = 50, 8
@@ -145,7 +145,7 @@ def window_table(texts: DataFrame, window: int) -> DataFrame:
             cols = [np.concatenate(c) for c in zip(*held, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "content", "digest", "doc_id", "offset"])
 
-        for batch in batches:
+        for batch in small(batches):
             bodies = batch.column(1).cast(pa.large_binary()).to_pylist()
             for doc_id, body, places in zip(batch.column(0).to_pylist(), bodies, batch.column(2).to_pylist(), strict=True):
                 seq = Words(body)
@@ -192,7 +192,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int
         import numpy as np
         import pyarrow as pa
 
-        for batch in rows:
+        for batch in small(rows):
             texts, words, gone = [], [], []
             for body, cuts in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 seq = Words(body)

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadlake.llm._common import Scratch, shuffle_partitions, table
+from quadlake.llm._common import Scratch, shuffle_partitions, small, table
 from quadlake.llm.induced import sorted_suffixes
 from quadlake.llm.windows import TEXT, Bytes, cut, region_table, with_texts
 
@@ -112,7 +112,7 @@ def _sort_shards(rows: DataFrame, window: int, memory: int) -> DataFrame:
             keep = [(k, d, _runs(h)) for (k, d, _, _), h in zip(held, hits, strict=True) if h]
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in keep], pa.int64()), pa.array([x[1] for x in keep], pa.int64()), pa.array([x[2] for x in keep], _runs_type())], ["k", "d", "runs"])
 
-        for batch in batches:
+        for batch in small(batches):
             for s, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if s != shard and held:
                     yield out()
@@ -140,7 +140,7 @@ def _bodies(texts: DataFrame, window: int) -> DataFrame:
         import pyarrow as pa
 
         kinds = (("k", pa.int64()), ("d", pa.int64()), ("n", pa.int32()), ("body", pa.binary()))
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for text, places in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 for p in places:
@@ -179,7 +179,7 @@ def _pieces(rows: DataFrame, window: int, size: int) -> DataFrame:
         def signed(x: int) -> int:
             return x - (1 << 64) if x >> 63 else x
 
-        for batch in batches:
+        for batch in small(batches):
             out: list[tuple] = []
             for k, d, ahead, n, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 for core, at, top, many in split(body, ahead, n, window, size):
@@ -202,7 +202,7 @@ def _with_ahead(rows: DataFrame, gram: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in small(batches):
             ahead = [int(np.flatnonzero(Bytes(body).grams(gram).view(np.int64) == k)[0]) for k, body in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ahead, pa.int32()), batch.column(2), batch.column(3)], ["k", "d", "ahead", "n", "body"])
 
@@ -277,7 +277,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in small(batches):
             kept, sizes, gone, runs = [], [], [], []
             for body, intervals in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 seq = Bytes(body)

@@ -31,7 +31,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadlake.llm._common import Scratch, arrow_rows, table
+from quadlake.llm._common import Scratch, arrow_rows, small, table
 
 #: Bounds of the labelled rows the model is fitted on and of the words it weighs.
 MAX_ROWS, MAX_FEATURES = 20_000, 500
@@ -198,7 +198,7 @@ def decode(token: str, price) -> str:
 class Restorer:
     """Words of a restored text. Decodings are remembered up to a bound."""
 
-    def __init__(self, price, remember: int = 200_000):
+    def __init__(self, price, remember: int = 50_000):
         self.price, self.known, self.remember = price, {}, remember
 
     def _decoded(self, token: str) -> str:
@@ -258,7 +258,7 @@ def _training_words(rows: DataFrame, price) -> DataFrame:
         import pyarrow as pa
 
         restorer = Restorer(price.value)
-        for batch in batches:
+        for batch in small(batches):
             words = [sorted(features(restorer.words(t))) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["toxic", "words"])
 
@@ -406,7 +406,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
 
         model_ = shared.value
         restorer = Restorer(model_.price)
-        for batch in batches:
+        for batch in small(batches):
             scores = [model_.probability(restorer.words(body or "")) for body in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*kept, name])
 
