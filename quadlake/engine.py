@@ -29,6 +29,7 @@ class Engine:
 
     ``functions``: IRI to a function of term columns. ``services``: IRI to a Catalog for SERVICE.
     ``distinct_alternatives``: `p|q` gives each pair once. ``timeout`` (seconds) cancels the jobs of ``run``.
+    ``exact_integers``: integers of more than 64 bits stay exact, as terms; without it they are unbound and all others native.
     ``estimator`` orders the joins of a basic graph pattern (see ``plans.joinorder``); None keeps the written order.
     """
 
@@ -39,6 +40,7 @@ class Engine:
     distinct_alternatives: bool = True
     timeout: float | None = None
     estimator: Estimator | None = baseline
+    exact_integers: bool = False
     _parsed: dict = field(default_factory=dict, repr=False)
 
     @property
@@ -56,7 +58,7 @@ class Engine:
     def compiler(self, q: A.Query) -> Compiler:
         named = q.default_graphs or q.named_graphs
         data = Dataset(self.catalog, q.default_graphs if named else None, q.named_graphs if named else None, self.estimator)
-        return Compiler(data, Context(q.base, functions=self.functions), self.distinct_alternatives, self.services)
+        return Compiler(data, Context(q.base, functions=self.functions, exact_integers=self.exact_integers), self.distinct_alternatives, self.services)
 
     # ---- query forms
     def select(self, text: str, decode: str = "native") -> DataFrame:
@@ -142,7 +144,7 @@ class Engine:
         """An engine over the updated catalog; this one is unchanged."""
         from quadlake.update import apply
 
-        return Engine(apply(self, text), self.base, self.functions, self.services, self.distinct_alternatives, self.timeout, self.estimator)
+        return Engine(apply(self, text), self.base, self.functions, self.services, self.distinct_alternatives, self.timeout, self.estimator, self.exact_integers)
 
 
 def show(rel: Rel, names: list[str], decode: str) -> DataFrame:

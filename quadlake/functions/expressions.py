@@ -24,6 +24,7 @@ class Context:
     base: str = ""
     now: str = field(default_factory=lambda: datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%S.%fZ"))
     functions: dict[str, Callable] = field(default_factory=dict)
+    exact_integers: bool = False
 
 
 #: Functions that may also be called by an IRI with this local name.
@@ -72,7 +73,7 @@ class Expressions:
             zero = Val("int", F.lit(0).cast("bigint"))
             if a.kind == "dbl":
                 return a if op == "u+" else Val("dbl", -a.col)
-            return V.arithmetic("+" if op == "u+" else "-", zero, a)
+            return V.arithmetic("+" if op == "u+" else "-", zero, a, self.context.exact_integers)
         b = self.value(args[1])
         if op == "=":
             return Val("bool", V.equal(a, b))
@@ -86,7 +87,7 @@ class Expressions:
                 return Val("bool", x.col <= y.col)
             low = V.less(x, y)
             return Val("bool", F.when(low.isNotNull(), low | V.equal(x, y)))
-        return V.arithmetic(op, a, b)
+        return V.arithmetic(op, a, b, self.context.exact_integers)
 
     def _in(self, e) -> Column:
         left = self.value(e[1])

@@ -259,13 +259,15 @@ def from_number(value: Column, place: Column) -> Column:
     return F.when(place >= 2, R.literal(double_text(value.cast("double")), F.when(place == 2, F.lit(R.FLOAT)).otherwise(F.lit(R.DOUBLE))))
 
 
-def arithmetic(op: str, a: Val, b: Val) -> Val:
-    """+ - * / with numeric promotion; integer / integer is a decimal."""
+def arithmetic(op: str, a: Val, b: Val, exact_integers: bool = False) -> Val:
+    """+ - * / with numeric promotion; integer / integer is a decimal. With `exact_integers` integers of more than 64 bits stay exact."""
     call = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide}[op]
     if a.kind in NUMBERS and b.kind in NUMBERS:
         if "dbl" in (a.kind, b.kind):
             x, y = a.col.cast("double"), b.col.cast("double")
             return Val("dbl", F.when(y != 0, x / y) if op == "/" else {"+": x + y, "-": x - y, "*": x * y}[op])
+        if a.kind == b.kind == "int" and op != "/" and exact_integers:
+            return Val("term", bind([to_term(a), to_term(b)], lambda x, y: _term_arithmetic(op, call, x, y)))
         if a.kind == b.kind == "int" and op != "/":
             return Val("int", call(a.col.cast("bigint"), b.col.cast("bigint")))
         return Val("dec", call(a.col.cast(DECIMAL_TYPE), b.col.cast(DECIMAL_TYPE)).cast(DECIMAL_TYPE))
@@ -277,12 +279,13 @@ def _term_arithmetic(op: str, call, x: Column, y: Column) -> Column:
     place = F.greatest(rank(x), rank(y), F.lit(1 if op == "/" else 0))
     fast = {"+": nx + ny, "-": nx - ny, "*": nx * ny, "/": F.when(ny != 0, nx / ny)}[op]
     slow = call(ex, ey).cast(DECIMAL_TYPE)
+    # Whole numbers have all 38 digits to themselves.
+    wholes = call(*(F.trim(t["lex"]).try_cast("decimal(38,0)") for t in (x, y))).cast("decimal(38,0)") if op != "/" else F.lit(None).cast("decimal(38,0)")
 
-    def spell(p, f, d):
-        whole = R.literal(d.cast("decimal(38,0)").cast("string"), R.INTEGER)
-        return F.when(p >= 2, from_number(f, p)).when(p == 0, whole).otherwise(R.literal(decimal_text(d), R.DECIMAL))
+    def spell(p, f, d, n):
+        return F.when(p >= 2, from_number(f, p)).when(p == 0, R.literal(n.cast("string"), R.INTEGER)).otherwise(R.literal(decimal_text(d), R.DECIMAL))
 
-    return F.when(nx.isNotNull() & ny.isNotNull(), bind([place, fast, slow], spell))
+    return F.when(nx.isNotNull() & ny.isNotNull(), bind([place, fast, slow, F.when(place == 0, wholes)], spell))
 
 
 def lift(v: Val, kind: str) -> Column:

@@ -270,6 +270,8 @@ class Compiler:
             else:
                 work = Rel(df, rel.vars)
                 work, inner, _ = self.value(work, e, graph)
+                if self.context.exact_integers and inner.kind == "int" and name == "SUM":
+                    inner = Val("term", V.to_term(inner))
                 df = work.df.withColumn(f"_arg{i}", inner.col)
                 value = AGGREGATES[name](Val(inner.kind, F.col(f"_arg{i}"), inner.prefix), distinct, separator)
             outs.append(value.col.alias(f"_agg{i}"))
@@ -310,7 +312,7 @@ def _sum(v: Val, distinct: bool, _):
         slow = F.aggregate(F.transform(terms, lambda x: V.exact(x)), F.lit(0).cast(V.DECIMAL_TYPE), lambda a, x: (a + x).cast(V.DECIMAL_TYPE))
     else:
         fast, slow = F.sum(number), F.coalesce(F.sum(exact), F.lit(0)).cast(V.DECIMAL_TYPE)
-    whole = F.when(place == 0, R.literal(slow.cast("decimal(38,0)").cast("string"), R.INTEGER)).otherwise(R.literal(V.decimal_text(slow), R.DECIMAL))
+    whole = F.when(place == 0, R.literal(slow.cast("decimal(26,0)").cast("string"), R.INTEGER)).otherwise(R.literal(V.decimal_text(slow), R.DECIMAL))
     return Val("term", F.when(~wrong, F.when(place >= 2, V.from_number(fast, place)).otherwise(whole)))
 
 

@@ -170,6 +170,12 @@ def custom_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(graph(spark).catalog, functions=own).select(PREFIX + "SELECT (<urn:f:twice>(?n) AS ?t) (xsd:integer(?n) AS ?i) { ?s :name ?n }")
 
 
+def exact_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums and products beyond 64 bits."""
+    text = "SELECT (9223372036854775807 * 4 + 1 AS ?a) (SUM(?x) AS ?s) { VALUES ?x { 9223372036854775807 9223372036854775807 } }"
+    return Engine(graph(spark).catalog, exact_integers=True).select(PREFIX + text)
+
+
 def construct_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = graph(spark).construct(PREFIX + "CONSTRUCT { ?s :told <<( ?s :likes ?o )>> } WHERE { ?s :knows ?o } ORDER BY ?s ?o LIMIT 2")
     return out.select(R.nt_column(F.col("s")).alias("s"), R.nt_column(F.col("o")).alias("o"))
@@ -259,6 +265,7 @@ def transaction_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OTHERS: dict[str, tuple[Callable, str]] = {
     "custom_function": (custom_function, _rows(("t", "i"), ("AlAl", -1), ("BoBo", -1), ("CyCy", -1))),
+    "exact_integers": (exact_integers, _rows(("a", "s"), ("36893488147419103229", "18446744073709551614"))),
     "construct_nested": (construct_nested, _rows(("s", "o"), ("<urn:x:a>", "<<( <urn:x:a> <urn:x:likes> <urn:x:b> )>>"), ("<urn:x:b>", "<<( <urn:x:b> <urn:x:likes> <urn:x:a> )>>"))),
     "construct_short": (construct_short, _rows(("s", "p", "o"), ("<urn:x:c>", u("height"), '"1.5e0"^^<http://www.w3.org/2001/XMLSchema#double>'))),
     "construct_fresh_nodes": (construct_fresh_nodes, _rows(("n", "nodes"), (6, 3))),

@@ -131,7 +131,7 @@ def _modify(engine, catalog: Catalog, op) -> Catalog:
         data, graph = Dataset(catalog, op.using, op.using_named), Graph()
     else:
         data, graph = Dataset(catalog), Graph(name=op.with_)
-    compiler = Compiler(data, Context(op.base, functions=engine.functions), engine.distinct_alternatives, engine.services)
+    compiler = Compiler(data, Context(op.base, functions=engine.functions, exact_integers=engine.exact_integers), engine.distinct_alternatives, engine.services)
     rel = compiler.group(op.where, graph)
     rel.df = written(rel.df)
     default = R.IRI(op.with_) if op.with_ else None
