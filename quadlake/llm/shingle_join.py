@@ -1,12 +1,16 @@
 """Near duplicates by exact shingle similarity: every pair of texts at a Jaccard similarity of t or more is linked.
 
-A text is the set of XXH64 hashes of its word shingles; equal sets collapse first. SimHash links (see ``simhash``) that
-hold on the whole sets join most of a group of near copies. What fingerprints do not show is added by a prefix filter: two
-sets of similarity t share an element among the first n - ceil(t n) + 1 of each under any common order, so postings of
-prefixes find every pair. The order puts hashes that many texts hold last: a common line costs nothing as long as a
-text has enough of its own. Only pairs of different components are made, and of a posting list's largest component none
-with itself. A bitmap of each set (the parity of its hashes by their low bits) bounds the symmetric difference from
-below and drops most candidates that share a passage only; the rest are verified on the whole sets, in integers.
+A text is the set of XXH64 hashes of its word shingles; equal sets collapse first. Two sets of similarity t share an
+element among the first n - ceil(t n) + 1 of each under any common order (prefix filter), so postings of prefixes find
+every pair. The order puts hashes that many texts hold last: a common line costs nothing as long as a text has enough of
+its own. A bitmap of each set (the parity of its hashes by their low bits) bounds the symmetric difference from below and
+drops most candidates that share a passage only, a folded one already where postings meet; the rest are verified on the
+whole sets, in integers.
+
+A group of near copies must not make all its pairs, so there are two rounds. First every text is compared with one other
+of each of its SimHash table entries (see ``simhash``) and of each of its posting lists; what holds on the whole sets joins
+most of a group; in crowded lists that is several others, since not every copy is similar to one. Then come links between different components only: SimHash links and shared postings, where members of the
+component that fills most of a list never meet each other. What is left out lies inside one component already.
 
 Edge cases: as in ``simhash`` (a null text is empty; empty texts are equal; texts shorter than a shingle are
 one shingle; rows without a key are left out; an empty table gives an empty result).
@@ -25,8 +29,10 @@ from quadlake.llm.simhash import SEED, cross_links, grouped, hub_links, joined_u
 
 #: One text in SAMPLE is counted to find common hashes: those in at least COMMON of them, at most 2^17. Any choice gives the same links.
 SAMPLE, COMMON, MOST_COMMON = 16, 6, 1 << 17
-#: Bits of a set's bitmap.
-BITS = 4096
+#: Others that a text is compared with in the first round in lists of at least CROWD texts; one in shorter lists.
+HUBS, CROWD = 12, 16
+#: Bits of a set's bitmap, and longs of the bitmap folded.
+BITS, FOLDED = 2048, 4
 #: Candidates are broadcast to the sets up to this number.
 BROADCAST_ROWS = 1 << 21
 
@@ -114,19 +120,58 @@ def _may_be_similar(scratch: Scratch, similarity: Fraction, sets: DataFrame, pai
     return scratch.write(pairs.join(first, "a").join(second, "b").where(differ * (p + q) <= (F.col("na") + F.col("nb")) * (q - p)).select("a", "b"))
 
 
-def _prefix_pairs(scratch: Scratch, nodes: DataFrame, similarity: Fraction) -> DataFrame:
-    """(a, b): candidates of `nodes` (node, n, prefix, comp) in different components that share a hash of their prefixes."""
+def _postings(scratch: Scratch, sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """(h, node, n, pos): the prefixes of the representatives, as far as two of them share a hash."""
+    copies = scratch.write(sets.select("row").join(reps.select(F.col("node").alias("row")), "row", "left_anti"))
+    few = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
+    own = sets.select("row", "n", "prefix").join(few, "row", "left_anti")
+    posts = own.select(F.col("row").alias("node"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "h"))
+    shared = scratch.write(posts.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("h"))
+    out = scratch.write(posts.join(shared, "h", "left_semi").select("h", "node", "n", "pos"))
+    scratch.drop(shared)
+    scratch.drop(copies)
+    return out
+
+
+def _length_fits(a, b, p: int, q: int):
+    return F.least(a, b) * q >= F.greatest(a, b) * p
+
+
+def _star_pairs(scratch: Scratch, posts: DataFrame, similarity: Fraction) -> DataFrame:
+    """(a, b): every node with one other, or a few, of each of its posting lists."""
+    p, q = similarity.numerator, similarity.denominator
+    picks = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("o"), "node", "n")).alias(f"hub{i}") for i in range(HUBS)]
+    lists = posts.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), *picks)
+    hubs = F.array_distinct(F.array(*[F.struct(f"hub{i}.node", f"hub{i}.n") for i in range(HUBS)]))
+    hubs = lists.select("h", F.when(F.col("texts") >= CROWD, hubs).otherwise(F.array(F.struct("hub0.node", "hub0.n"))).alias("hubs"))
+    met = posts.select("h", "node", "n").join(hubs, "h").select("node", "n", F.explode("hubs").alias("hub"))
+    met = met.where((F.col("node") != F.col("hub.node")) & _length_fits(F.col("n"), F.col("hub.n"), p, q))
+    return scratch.write(met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct())
+
+
+def _folded(bits):
+    """A bitmap as FOLDED longs: the parity of each bit's copies."""
+    parts = [F.transform(F.sequence(F.lit(k), F.size(bits) - 1, F.lit(FOLDED)), lambda i: F.get(bits, i)) for k in range(FOLDED)]
+    return [F.aggregate(part, F.lit(0).cast("long"), lambda t, x: t.bitwiseXOR(x)).alias(f"f{k}") for k, part in enumerate(parts)]
+
+
+def _cross_pairs(scratch: Scratch, posts: DataFrame, placed: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
+    """(a, b): nodes in different components that share a hash of their prefixes, as far as folded bitmaps allow the similarity."""
     p, q = similarity.numerator, similarity.denominator
-    posts = nodes.select("node", "n", "comp", F.posexplode("prefix").alias("pos", "h"))
-    open_ = scratch.write(posts.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h"))
-    left = scratch.write(posts.join(open_, "h", "left_semi"))
-    most = left.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"))
-    left = left.join(most, "h")
+    comps = placed.select("node", "comp").join(sets.select(F.col("row").alias("node"), *_folded(F.col("bits"))), "node")
+    held = scratch.write(posts.join(comps, "node"))
+    shares = held.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"))
+    most = shares.groupBy("h").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
+    left = scratch.write(held.join(most, "h"))
+    scratch.drop(held)
     x, y = left.where("comp <> most").alias("x"), left.alias("y")
     rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))  # holds at the first hash a pair shares
     met = (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("x.node") < F.col("y.node")) | (F.col("y.comp") == F.col("y.most")))
-    met = met & (F.least("x.n", "y.n") * q >= F.greatest("x.n", "y.n") * p) & (rest * (p + q) >= (F.col("x.n") + F.col("y.n")) * p)
+    differ = sum((F.bit_count(F.col(f"x.f{k}").bitwiseXOR(F.col(f"y.f{k}"))) for k in range(1, FOLDED)), F.bit_count(F.col("x.f0").bitwiseXOR(F.col("y.f0"))))
+    both = F.col("x.n") + F.col("y.n")
+    met = met & _length_fits(F.col("x.n"), F.col("y.n"), p, q) & (rest * (p + q) >= both * p) & (differ * (p + q) <= both * (q - p))
     out = scratch.write(x.join(y, met).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    scratch.drop(left)
     return out
 
 
@@ -140,16 +185,19 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     sets = w(shingle_sets(narrow, shingle, bound, common).drop("hashes").withColumn("row", F.monotonically_increasing_id()))
     reps = w(sets.groupBy("digest", "n").agg(F.min("row").alias("node"), F.min("id").alias("least_id"), F.first("fp").alias("fp")))
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(simhash: DataFrame, shared: DataFrame) -> DataFrame:
+        pairs = w(simhash.unionByName(_may_be_similar(scratch, bound, sets, shared)).distinct())
         return _similar(scratch, narrow, shingle, bound, sets, pairs)
 
-    fps = reps.select("node", "fp")
-    placed = w(grouped(fps, connected_components(scratch, verify(w(hub_links(fps, radius, parts)))), "node"))
-    near = cross_links(scratch, placed, radius, parts)
-    shared = _prefix_pairs(scratch, sets.select(F.col("row").alias("node"), "n", "prefix").join(placed.drop("fp"), "node"), bound)
-    pairs = w(near.unionByName(_may_be_similar(scratch, bound, sets, shared)).distinct())
-    nodes = w(joined_up(scratch, placed.drop("fp"), verify(pairs)))
+    posts, fps = _postings(scratch, sets, reps), reps.select("node", "fp")
+    first = verify(hub_links(fps, radius, parts), _star_pairs(scratch, posts, bound))
+    placed = w(grouped(fps, connected_components(scratch, first), "node"))
+    more = verify(cross_links(scratch, placed, radius, parts), _cross_pairs(scratch, posts, placed, sets, bound))
+    scratch.drop(posts)
+    nodes = w(joined_up(scratch, placed.drop("fp"), more))
     found = w(reps.join(nodes, "node").select("digest", "n", "least_id", "comp"))
     least_ids = found.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     classes = w(found.join(least_ids, "comp").select("digest", "n", "component_id"))
-    return w(sets.select("id", "digest", "n", "fp").join(classes, ["digest", "n"]).select(F.col("id").alias("doc_id"), "fp", "component_id"))
+    out = w(sets.select("id", "digest", "n", "fp").join(classes, ["digest", "n"]).select(F.col("id").alias("doc_id"), "fp", "component_id"))
+    scratch.drop(sets)
+    return out
