@@ -110,14 +110,14 @@ def _similar(scratch: Scratch, docs: DataFrame, shingle: int, similarity: Fracti
     return out
 
 
-def _may_be_similar(scratch: Scratch, similarity: Fraction, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def _may_be_similar(similarity: Fraction, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of rows whose bitmaps allow the similarity."""
     p, q = similarity.numerator, similarity.denominator
     first = sets.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
     second = sets.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
     differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     # |A ^ B| <= (1 - t) / (1 + t) (|A| + |B|), and bits that differ are at most as many.
-    return scratch.write(pairs.join(first, "a").join(second, "b").where(differ * (p + q) <= (F.col("na") + F.col("nb")) * (q - p)).select("a", "b"))
+    return pairs.join(first, "a").join(second, "b").where(differ * (p + q) <= (F.col("na") + F.col("nb")) * (q - p)).select("a", "b")
 
 
 def _postings(scratch: Scratch, sets: DataFrame, reps: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def _length_fits(a, b, p: int, q: int):
     return F.least(a, b) * q >= F.greatest(a, b) * p
 
 
-def _star_pairs(scratch: Scratch, posts: DataFrame, similarity: Fraction) -> DataFrame:
+def _star_pairs(posts: DataFrame, similarity: Fraction) -> DataFrame:
     """(a, b): every node with one other, or a few, of each of its posting lists."""
     p, q = similarity.numerator, similarity.denominator
     picks = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("o"), "node", "n")).alias(f"hub{i}") for i in range(HUBS)]
@@ -146,7 +146,7 @@ def _star_pairs(scratch: Scratch, posts: DataFrame, similarity: Fraction) -> Dat
     hubs = lists.select("h", F.when(F.col("texts") >= CROWD, hubs).otherwise(F.array(F.struct("hub0.node", "hub0.n"))).alias("hubs"))
     met = posts.select("h", "node", "n").join(hubs, "h").select("node", "n", F.explode("hubs").alias("hub"))
     met = met.where((F.col("node") != F.col("hub.node")) & _length_fits(F.col("n"), F.col("hub.n"), p, q))
-    return scratch.write(met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct())
+    return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
 def _folded(bits):
@@ -186,18 +186,18 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     reps = w(sets.groupBy("digest", "n").agg(F.min("row").alias("node"), F.min("id").alias("least_id"), F.first("fp").alias("fp")))
 
     def verify(simhash: DataFrame, shared: DataFrame) -> DataFrame:
-        pairs = w(simhash.unionByName(_may_be_similar(scratch, bound, sets, shared)).distinct())
+        pairs = w(simhash.unionByName(_may_be_similar(bound, sets, shared)).distinct())
         return _similar(scratch, narrow, shingle, bound, sets, pairs)
 
     posts, fps = _postings(scratch, sets, reps), reps.select("node", "fp")
-    first = verify(hub_links(fps, radius, parts), _star_pairs(scratch, posts, bound))
+    first = verify(hub_links(fps, radius, parts), _star_pairs(posts, bound))
     placed = w(grouped(fps, connected_components(scratch, first), "node"))
     more = verify(cross_links(scratch, placed, radius, parts), _cross_pairs(scratch, posts, placed, sets, bound))
     scratch.drop(posts)
     nodes = w(joined_up(scratch, placed.drop("fp"), more))
     found = w(reps.join(nodes, "node").select("digest", "n", "least_id", "comp"))
     least_ids = found.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    classes = w(found.join(least_ids, "comp").select("digest", "n", "component_id"))
+    classes = found.join(least_ids, "comp").select("digest", "n", "component_id")
     out = w(sets.select("id", "digest", "n", "fp").join(classes, ["digest", "n"]).select(F.col("id").alias("doc_id"), "fp", "component_id"))
     scratch.drop(sets)
     return out
