@@ -8,7 +8,7 @@ drops most candidates that share a passage only, a folded one already where post
 whole sets, in integers.
 
 A group of near copies must not make all its pairs, so there are two rounds. First every text is compared with one other
-of each of its SimHash table entries (see ``simhash``) and of each of its posting lists; what holds on the whole sets joins
+of each of its SimHash table entries (see ``simhash``) and of a few of its posting lists; what holds on the whole sets joins
 most of a group; in crowded lists that is several others, since not every copy is similar to one. Then come links between different components only: SimHash links and shared postings, where members of the
 component that fills most of a list never meet each other. What is left out lies inside one component already.
 
@@ -31,6 +31,8 @@ from quadlake.llm.simhash import SEED, cross_links, grouped, hub_links, joined_u
 SAMPLE, COMMON, MOST_COMMON = 16, 6, 1 << 17
 #: Others that a text is compared with in the first round in lists of at least CROWD texts; one in shorter lists.
 HUBS, CROWD = 12, 16
+#: Posting lists that a text offers in the first round: those of its first shared hashes.
+OFFERS = 12
 #: Bits of a set's bitmap, and longs of the bitmap folded.
 BITS, FOLDED = 2048, 4
 #: Candidates are broadcast to the sets up to this number.
@@ -137,16 +139,18 @@ def _length_fits(a, b, p: int, q: int):
     return F.least(a, b) * q >= F.greatest(a, b) * p
 
 
-def _star_pairs(posts: DataFrame, similarity: Fraction) -> DataFrame:
-    """(a, b): every node with one other, or a few, of each of its posting lists."""
+def _star_pairs(scratch: Scratch, posts: DataFrame, similarity: Fraction) -> DataFrame:
+    """(a, b): every node with one other, or a few, of its first OFFERS posting lists."""
     p, q = similarity.numerator, similarity.denominator
     picks = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("o"), "node", "n")).alias(f"hub{i}") for i in range(HUBS)]
     lists = posts.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), *picks)
     hubs = F.array_distinct(F.array(*[F.struct(f"hub{i}.node", f"hub{i}.n") for i in range(HUBS)]))
     hubs = lists.select("h", F.when(F.col("texts") >= CROWD, hubs).otherwise(F.array(F.struct("hub0.node", "hub0.n"))).alias("hubs"))
-    met = posts.select("h", "node", "n").join(hubs, "h").select("node", "n", F.explode("hubs").alias("hub"))
+    mine = F.slice(F.sort_array(F.collect_list(F.struct("pos", "h"))), 1, OFFERS)  # of a node's prefix
+    offers = posts.groupBy("node", "n").agg(mine.alias("mine")).select("node", "n", F.explode("mine.h").alias("h"))
+    met = offers.join(hubs, "h").select("node", "n", F.explode("hubs").alias("hub"))
     met = met.where((F.col("node") != F.col("hub.node")) & _length_fits(F.col("n"), F.col("hub.n"), p, q))
-    return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    return scratch.write(met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct())
 
 
 def _folded(bits):
@@ -158,12 +162,13 @@ def _folded(bits):
 def _cross_pairs(scratch: Scratch, posts: DataFrame, placed: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
     """(a, b): nodes in different components that share a hash of their prefixes, as far as folded bitmaps allow the similarity."""
     p, q = similarity.numerator, similarity.denominator
-    comps = placed.select("node", "comp").join(sets.select(F.col("row").alias("node"), *_folded(F.col("bits"))), "node")
-    held = scratch.write(posts.join(comps, "node"))
+    held = scratch.write(posts.join(placed.select("node", "comp"), "node"))
     shares = held.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"))
     most = shares.groupBy("h").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
-    left = scratch.write(held.join(most, "h"))
+    open_ = scratch.write(held.join(most, "h"))
     scratch.drop(held)
+    left = scratch.write(open_.join(sets.select(F.col("row").alias("node"), *_folded(F.col("bits"))), "node"))
+    scratch.drop(open_)
     x, y = left.where("comp <> most").alias("x"), left.alias("y")
     rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))  # holds at the first hash a pair shares
     met = (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("x.node") < F.col("y.node")) | (F.col("y.comp") == F.col("y.most")))
@@ -190,7 +195,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
         return _similar(scratch, narrow, shingle, bound, sets, pairs)
 
     posts, fps = _postings(scratch, sets, reps), reps.select("node", "fp")
-    first = verify(hub_links(fps, radius, parts), _star_pairs(posts, bound))
+    first = verify(hub_links(fps, radius, parts), _star_pairs(scratch, posts, bound))
     placed = w(grouped(fps, connected_components(scratch, first), "node"))
     more = verify(cross_links(scratch, placed, radius, parts), _cross_pairs(scratch, posts, placed, sets, bound))
     scratch.drop(posts)
