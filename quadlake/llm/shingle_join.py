@@ -35,6 +35,8 @@ HUBS, CROWD = 12, 16
 OFFERS = 12
 #: Bits of a set's bitmap, and longs of the bitmap folded.
 BITS, FOLDED = 2048, 4
+#: All postings are sifted in as many passes, so that shuffle files of one pass are on disk at a time.
+PASSES = 4
 #: Candidates are broadcast to the sets up to this number.
 BROADCAST_ROWS = 1 << 21
 
@@ -128,10 +130,13 @@ def _postings(scratch: Scratch, sets: DataFrame, reps: DataFrame) -> DataFrame:
     few = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
     own = sets.select("row", "n", "prefix").join(few, "row", "left_anti")
     posts = own.select(F.col("row").alias("node"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "h"))
-    shared = scratch.write(posts.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("h"))
-    out = scratch.write(posts.join(shared, "h", "left_semi").select("h", "node", "n", "pos"))
-    scratch.drop(shared)
-    scratch.drop(copies)
+    out = None
+    for k in range(PASSES):
+        part = posts.where(F.pmod("h", F.lit(PASSES)) == k)
+        shared = scratch.write(part.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("h"))
+        found = scratch.write(part.join(shared, "h", "left_semi").select("h", "node", "n", "pos"))
+        scratch.drop(shared)
+        out = found if out is None else out.unionByName(found)
     return out
 
 
@@ -198,7 +203,6 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     first = verify(hub_links(fps, radius, parts), _star_pairs(scratch, posts, bound))
     placed = w(grouped(fps, connected_components(scratch, first), "node"))
     more = verify(cross_links(scratch, placed, radius, parts), _cross_pairs(scratch, posts, placed, sets, bound))
-    scratch.drop(posts)
     nodes = w(joined_up(scratch, placed.drop("fp"), more))
     found = w(reps.join(nodes, "node").select("digest", "n", "least_id", "comp"))
     least_ids = found.groupBy("comp").agg(F.min("least_id").alias("component_id"))
