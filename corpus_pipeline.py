@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadlake.llm import decontaminate, mixing, pii, simhash, toxicity
-from quadlake.llm._common import Scratch, table
+from quadlake.llm._common import Scratch, bound_batches, table
 
 #: A document goes if its toxicity is at least this.
 REJECT = 0.5
@@ -20,6 +20,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below REJECT."""
+    bound_batches(spark)
     model = toxicity.production_model(spark, sf_dir, docs)
     scored = toxicity.score(docs, model, name="_toxicity")
     return scored.where(F.col("_toxicity") < REJECT).drop("_toxicity")
@@ -30,6 +31,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that repeat a doc_id count as one document; rows without a doc_id stay.
     """
+    bound_batches(spark)
     scratch = Scratch(spark, "pipeline")
     classes = simhash.near_duplicates(docs, shingle=SHINGLE, similarity=SIMILARITY)
     names = []
@@ -54,6 +56,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    bound_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 

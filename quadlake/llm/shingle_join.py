@@ -19,6 +19,7 @@ one shingle; rows without a key are left out; an empty table gives an empty resu
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,19 +125,19 @@ def _may_be_similar(similarity: Fraction, sets: DataFrame, pairs: DataFrame) ->
     return pairs.join(first, "a").join(second, "b").where(differ * (p + q) <= (F.col("na") + F.col("nb")) * (q - p)).select("a", "b")
 
 
-def _postings(scratch: Scratch, sets: DataFrame, reps: DataFrame) -> DataFrame:
-    """(h, node, n, pos): the prefixes of the representatives, as far as two of them share a hash."""
+def _postings(scratch: Scratch, sets: DataFrame, reps: DataFrame) -> list[DataFrame]:
+    """Tables of (h, node, n, pos): the prefixes of the representatives, as far as two of them share a hash."""
     copies = scratch.write(sets.select("row").join(reps.select(F.col("node").alias("row")), "row", "left_anti"))
     few = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
     own = sets.select("row", "n", "prefix").join(few, "row", "left_anti")
     posts = own.select(F.col("row").alias("node"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "h"))
-    out = None
+    out = []
     for k in range(PASSES):
         part = posts.where(F.pmod("h", F.lit(PASSES)) == k)
         shared = scratch.write(part.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("h"))
-        found = scratch.write(part.join(shared, "h", "left_semi").select("h", "node", "n", "pos"))
+        out.append(scratch.write(part.join(shared, "h", "left_semi").select("h", "node", "n", "pos")))
         scratch.drop(shared)
-        out = found if out is None else out.unionByName(found)
+    scratch.drop(copies)
     return out
 
 
@@ -144,9 +145,10 @@ def _length_fits(a, b, p: int, q: int):
     return F.least(a, b) * q >= F.greatest(a, b) * p
 
 
-def _star_pairs(scratch: Scratch, posts: DataFrame, similarity: Fraction) -> DataFrame:
+def _star_pairs(scratch: Scratch, parts: list[DataFrame], similarity: Fraction) -> DataFrame:
     """(a, b): every node with one other, or a few, of its first OFFERS posting lists."""
     p, q = similarity.numerator, similarity.denominator
+    posts = reduce(DataFrame.unionByName, parts)
     picks = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("o"), "node", "n")).alias(f"hub{i}") for i in range(HUBS)]
     lists = posts.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), *picks)
     hubs = F.array_distinct(F.array(*[F.struct(f"hub{i}.node", f"hub{i}.n") for i in range(HUBS)]))
@@ -164,10 +166,12 @@ def _folded(bits):
     return [F.aggregate(part, F.lit(0).cast("long"), lambda t, x: t.bitwiseXOR(x)).alias(f"f{k}") for k, part in enumerate(parts)]
 
 
-def _cross_pairs(scratch: Scratch, posts: DataFrame, placed: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
-    """(a, b): nodes in different components that share a hash of their prefixes, as far as folded bitmaps allow the similarity."""
+def _cross_pairs(scratch: Scratch, posts: list[DataFrame], placed: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
+    """(a, b): nodes in different components that share a hash of their prefixes, as far as folded bitmaps allow the similarity. Drops the postings."""
     p, q = similarity.numerator, similarity.denominator
-    held = scratch.write(posts.join(placed.select("node", "comp"), "node"))
+    held = scratch.write(reduce(DataFrame.unionByName, posts).join(placed.select("node", "comp"), "node"))
+    for part in posts:
+        scratch.drop(part)
     shares = held.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"))
     most = shares.groupBy("h").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
     open_ = scratch.write(held.join(most, "h"))
@@ -197,7 +201,10 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     def verify(simhash: DataFrame, shared: DataFrame) -> DataFrame:
         pairs = w(simhash.unionByName(_may_be_similar(bound, sets, shared)).distinct())
-        return _similar(scratch, narrow, shingle, bound, sets, pairs)
+        scratch.drop(shared)
+        out = _similar(scratch, narrow, shingle, bound, sets, pairs)
+        scratch.drop(pairs)
+        return out
 
     posts, fps = _postings(scratch, sets, reps), reps.select("node", "fp")
     first = verify(hub_links(fps, radius, parts), _star_pairs(scratch, posts, bound))
