@@ -20,7 +20,7 @@ DECIMAL_TYPE = "decimal(38,12)"
 class Val:
     kind: str
     col: Column
-    prefix: str = ""  # of kind key
+    prefix: str = ""  # of kind key; of kind iri what all values begin with, as far as that is known
     text: str | None = None  # of a constant string
 
     def null_when(self, cond: Column) -> Val:
@@ -192,13 +192,20 @@ def same_term(a: Val, b: Val) -> Column:
     if a.kind == b.kind and a.kind in ("key", "iri", "bnode", "int", "str", "bool", "ts", "date", "dec", "dbl", "term"):
         if a.kind != "key" or a.prefix == b.prefix:
             return a.col == b.col
+    if apart(a, b):
+        return _never(a, b)
     if a.kind in ("iri", "key") and b.kind in ("iri", "key"):
-        if a.kind == b.kind and not (a.prefix.startswith(b.prefix) or b.prefix.startswith(a.prefix)):
-            return _never(a, b)
         return text_of(a) == text_of(b)
+    return to_term(a) == to_term(b)
+
+
+def apart(a, b) -> bool:
+    """Whether kinds and prefixes alone (of a Val or an Info) tell that no term is a value of both."""
     if "term" in (a.kind, b.kind):
-        return to_term(a) == to_term(b)
-    return _never(a, b)
+        return False
+    if a.kind in ("iri", "key") and b.kind in ("iri", "key"):
+        return not (a.prefix.startswith(b.prefix) or b.prefix.startswith(a.prefix))
+    return a.kind != b.kind
 
 
 def _never(a: Val, b: Val) -> Column:

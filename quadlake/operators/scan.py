@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,7 +126,7 @@ def cell_value(table: TableMap, target: str | Key) -> Val | None:
             return Val("bnode", F.concat(F.lit(target.prefix), key_text(df, target)))
         if len(target.columns) == 1:
             return Val("key", F.col(f"`{target.columns[0]}`"), target.prefix)
-        return Val("iri", F.concat(F.lit(target.prefix), key_text(df, target)))
+        return Val("iri", F.concat(F.lit(target.prefix), key_text(df, target)), target.prefix)
     kind = literal_kind(df.schema[target].dataType)
     if kind is None:
         return None
@@ -165,8 +165,37 @@ def has(table: TableMap, predicate: str) -> bool:
     return predicate in table.columns or (predicate == R.RDF_TYPE and table.class_iri is not None)
 
 
-def pattern(data: Dataset, graph: Graph, s, p, o) -> Rel:
-    """One triple pattern over every source."""
+def can_be(table: TableMap, p: str, o) -> bool:
+    """False if the pattern asks for another class than the table's."""
+    return p != R.RDF_TYPE or p in table.columns or not ground(o) or o == R.IRI(table.class_iri)
+
+
+def narrowed(table: TableMap, s: list, o: list) -> TableMap | None:
+    """The table with those predicates whose triples can meet values of `s` and of `o` (lists of Infos or Vals that all
+    hold), by kinds and prefixes; None if there are none. Triples of the others have no solution."""
+
+    def fits(value, held: list) -> bool:
+        return value is not None and not any(V.apart(value, h) for h in held)
+
+    if not fits(cell_value(table, table.subject), s):
+        return None
+    columns = {p: c for p, c in table.columns.items() if fits(cell_value(table, c), o)}
+    class_iri = table.class_iri if table.class_iri and fits(Info("iri", table.class_iri), o) else None
+    return replace(table, columns=columns, class_iri=class_iri) if columns or class_iri else None
+
+
+def _held(x, held: dict[str, list[Info]] | None) -> list:
+    """What is known of the values of a pattern's position."""
+    if isinstance(x, R.IRI):
+        return [Info("iri", x.value)]
+    if isinstance(x, R.Lit):
+        return [V.constant(x)]
+    return (held or {}).get(name_of(x), [])
+
+
+def pattern(data: Dataset, graph: Graph, s, p, o, held: dict[str, list[Info]] | None = None) -> Rel:
+    """One triple pattern over every source. `held` says what the solutions to join with bind variables to: if the predicate
+    is a variable, triples of mapped tables that cannot join are not made."""
     rels = []
     quads = data.quads(graph)
     tables = data.tables(graph)
@@ -183,12 +212,15 @@ def pattern(data: Dataset, graph: Graph, s, p, o) -> Rel:
         rels.append(binder.rel(quads))
     for table in tables:
         if isinstance(p, R.IRI):
-            if has(table, p.value):
+            if has(table, p.value) and can_be(table, p.value, o):
                 rels.append(_in_graph(star(table, s, [(p.value, o)]), table, graph))
             continue
         binder = Binder()
         if isinstance(s, R.IRI) and (table.subject.blank or not s.value.startswith(table.subject.prefix)):
             continue
+        table = narrowed(table, _held(s, held), _held(o, held))
+        if table is None:
+            continue
         df = data.catalog.triples_of(table, key_equals(table.df, table.subject, s.value) if isinstance(s, R.IRI) else None)
         binder.put(s, Val("term", F.col("s")))
         binder.put(p, Val("iri", F.col("p")))
@@ -257,27 +289,32 @@ def basic(data: Dataset, graph: Graph, triples: list[tuple], path_scan, context:
     """
     if not triples:
         return unit(data.catalog.spark)
-    parts: list[tuple[Rel, PatternStats]] = []
+    parts: list[tuple[Rel, PatternStats] | None] = []
     later: list[tuple] = []
+    any_predicate: list[tuple] = []
     stars: dict = {}
     tables = data.tables(graph)
     stored = data.stored_predicates() if tables and data.catalog.quads is not None else None
 
-    def one(s, p, o) -> None:
-        rel = pattern(data, graph, s, p, o)
+    def one(s, p, o, held: dict[str, list[Info]] | None = None) -> tuple[Rel, PatternStats]:
+        rel = pattern(data, graph, s, p, o, held)
         fits = [m for m in tables if isinstance(p, R.IRI) and has(m, p.value)]
-        parts.append((rel, stats_of(data, rel, s, [(p.value if isinstance(p, R.IRI) else None, o)], fits[0] if len(fits) == 1 and data.catalog.quads is None else None)))
+        return rel, stats_of(data, rel, s, [(p.value if isinstance(p, R.IRI) else None, o)], fits[0] if len(fits) == 1 and data.catalog.quads is None else None)
 
     for s, p, o in triples:
         if isinstance(p, tuple):
             later.append((s, p, o))
             continue
-        mine = [m for m in tables if isinstance(p, R.IRI) and has(m, p.value)]
-        alone = data.catalog.quads is None or (stored is not None and isinstance(p, R.IRI) and p.value not in stored)
-        if isinstance(p, R.IRI) and mine and alone:
+        if not isinstance(p, R.IRI):
+            any_predicate.append((len(parts), s, p, o))
+            parts.append(None)  # made below: the other patterns tell which tables it can join
+            continue
+        mine = [m for m in tables if has(m, p.value)]
+        alone = data.catalog.quads is None or (stored is not None and p.value not in stored)
+        if mine and alone:
             stars.setdefault(s, []).append((p.value, o, mine))
         else:
-            one(s, p, o)
+            parts.append(one(s, p, o))
     for s, arcs in stars.items():
         fits = [m for m in tables if all(any(m is x for x in mine) for _, _, mine in arcs)]
         # Subjects of mapped tables have prefixes of their own, so one predicate that only one table has settles the table.
@@ -286,7 +323,14 @@ def basic(data: Dataset, graph: Graph, triples: list[tuple], path_scan, context:
             parts.append((rel, stats_of(data, rel, s, [(p, o) for p, o, _ in arcs], fits[0])))
         else:
             for p, o, _ in arcs:
-                one(s, R.IRI(p), o)
+                parts.append(one(s, R.IRI(p), o))
+    held: dict[str, list[Info]] = {}
+    for r in (*(part[0] for part in parts if part is not None), *([context] if context is not None else [])):
+        for v, info in r.vars.items():
+            if info.certain:
+                held.setdefault(v, []).append(info)
+    for at, s, p, o in any_predicate:
+        parts[at] = one(s, p, o, held)
     out = ordered(data, parts) if parts else None
     while later:
         # A path with an end that is bound already starts there; of several the first written comes first.

@@ -7,10 +7,10 @@ import pytest
 
 from quadlake import queries
 from quadlake.engine import Engine
-from quadlake.operators import paths
+from quadlake.operators import paths, scan
 from quadlake.parser.turtle import parse_turtle
 from quadlake.plans.joinorder import PatternStats, best_order
-from quadlake.sources.catalog import Catalog
+from quadlake.sources.catalog import Catalog, Key, TableMap
 from quadlake.sources.star_schema import star_schema
 
 SF = "/root/testdata/sf0.001"
@@ -84,6 +84,52 @@ def test_constants_reach_the_scan(spark, text, pushed):
     assert pushed in re.sub(r"\s", "", explain(spark, select(spark, text)))
 
 
+FEW = ("region", "nation", "supplier", "lineitem", "conversations", "embeddings")
+
+
+@pytest.mark.parametrize(
+    ("where", "read"),
+    [
+        ("?s ?p ?o . ?s a :Nation", "nation"),
+        ("?s a :Nation . ?s ?p ?o . ?s ?q ?x", "nation"),
+        ("{ ?s a :Conversations } ?s ?p ?o", "conversations"),
+        ("?s ?p ?o . ?s :l_tax 0.03e0", "lineitem"),
+        ("?s ?p ?o . ?o :r_name ?n", "nation region"),
+        ("?s ?p ?o . ?s :s_name ?n . ?o :n_region ?r", "nation supplier"),
+        ("?s ?p ?o . ?s :s_name ?n . ?o :r_name ?r", ""),
+        ("?s ?p <urn:t:nation/3>", "supplier"),
+        ("?s ?p <urn:t:Region>", "region"),
+        ('?s ?p "ASIA"', "conversations lineitem nation region supplier"),
+        ("?s a :Nation , :Region . ?s ?p ?o", ""),
+    ],
+)
+def test_any_predicate_makes_only_triples_that_can_join(spark, monkeypatch, where, read):
+    """Tables whose keys no solution can hold are not read, and the solutions are those of reading all."""
+    text = queries.PREFIX + "SELECT * { " + where + " }"
+    catalog = star_schema(spark, SF, FEW)
+    df = Engine(catalog).select(text)
+    assert set(re.findall(r"Location: InMemoryFileIndex \[file:\S*/(\w+)\.parquet\]", explain(spark, df))) == set(read.split())
+    monkeypatch.setattr(scan, "narrowed", lambda table, s, o: table)
+    whole = Engine(catalog).select(text)
+    assert df.columns == whole.columns and sorted(map(str, df.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_any_predicate_keeps_what_may_join(spark):
+    """A prefix may begin another one, and stored quads may give a subject of any table any class."""
+    one = TableMap("one", spark.createDataFrame([("x", 1), ("b/y", 2)], "k string, v int"), Key("urn:a/", ("k",)), {"urn:k": "k", "urn:v": "v"}, "urn:One")
+    two = TableMap("two", spark.createDataFrame([("y", 3)], "k string, w int"), Key("urn:a/b/", ("k",)), {"urn:w": "w"}, "urn:Two")
+    text = "SELECT ?s ?p { ?s ?p ?o . ?s a <urn:Two> }"
+    kind = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+    rows = [("urn:a/b/y", p) for p in (kind, kind, "urn:k", "urn:v", "urn:w")]
+    assert sorted(map(tuple, Engine(Catalog(spark, None, [one, two])).select(text).collect())) == rows
+    stored = Catalog.of(spark, parse_turtle("<urn:a/x> a <urn:Two> .")).map_tables([one, two])
+    more = [("urn:a/x", p) for p in (kind, kind, "urn:k", "urn:v")]
+    assert sorted(map(tuple, Engine(stored).select(text).collect())) == rows + more
+    loose = "SELECT ?s ?p { <urn:n> <urn:none> ?x . OPTIONAL { <urn:n> <urn:is> ?s } ?s ?p ?o }"  # not bound for certain: nothing is left out
+    held = Catalog.of(spark, parse_turtle("<urn:n> <urn:none> 1 .")).map_tables([one, two])
+    assert Engine(held).select(loose).count() == 8 + 1
+
+
 def test_describe_reads_rows_by_key(spark):
     plan = re.sub(r"\s", "", explain(spark, Engine(star_schema(spark, SF)).describe("DESCRIBE <urn:t:region/1>")))
     assert "EqualTo(r_regionkey,1)" in plan and "customer.parquet" not in plan
